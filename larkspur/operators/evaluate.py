@@ -5,6 +5,7 @@ processing (P23-P25) and batch mean (A28)."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,7 +101,7 @@ def qq_points(df: DataFrame, label: str = "actual", pred: str = "predicted", poi
     least-squares line through the points. No global sort or row_number."""
     spark = df.sparkSession
     r = (F.col(label).cast("double") - F.col(pred).cast("double")).alias("r")
-    rdf = df.select(r).where(F.col("r").isNotNull())
+    rdf = df.select(r).where(F.col("r").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
     n = rdf.count()
     if n == 0:
         return spark.createDataFrame([], "k int, rank long, theoretical double, ordered double, slope double, intercept double")
@@ -109,6 +110,7 @@ def qq_points(df: DataFrame, label: str = "actual", pred: str = "predicted", poi
     # ranks -> probabilities hitting exactly those order statistics
     probs = [rk / (n - 1) if n > 1 else 0.0 for rk in ranks]
     vals = exact_quantiles(rdf, ["r"], probs, counts={"r": n})["r"]
+    rdf.unpersist()
     rows = [(i, rk, v) for i, (rk, v) in enumerate(zip(ranks, vals))]
     pts = spark.createDataFrame(rows, "k int, rank long, ordered double")   # <= points rows
     i1 = F.col("rank") + 1

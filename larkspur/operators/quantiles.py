@@ -22,9 +22,11 @@ number of Spark jobs is a small constant, independent of the column count.
 
 from __future__ import annotations
 
+import bisect
 import math
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,29 +59,43 @@ def _in_window(c, t: _Target):
 
 
 def _resolve_small(df: DataFrame, targets: list[_Target], cap: int) -> None:
-    """Exact rank lookup for windows holding at most ``cap`` rows."""
+    """Exact rank lookup for windows holding at most ``cap`` rows each.
+
+    One job for all columns: every row contributes (column, value) for each
+    column whose windows contain the value; a grouped count gives distinct
+    (column, value, count) rows -- at most the windows' total size, a proven
+    bound -- which are read and searched by cumulative count."""
+    if not targets:
+        return
     by_col: dict[str, list[_Target]] = {}
     for t in targets:
         by_col.setdefault(t.col, []).append(t)
-    for c, ts in by_col.items():
+    entries = []
+    for i, (c, ts) in enumerate(by_col.items()):
         cond = None
         for lo, hi in sorted({(t.lo, t.hi) for t in ts}):
             w = _in_window(c, _Target(c, 0, lo, hi))
             cond = w if cond is None else (cond | w)
-        # at most sum(size) <= cap * len(ts) rows, a proven bound
-        rows = (df.filter(cond).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-                  .collect())
-        vals = sorted((float(r["v"]), int(r["n"])) for r in rows)
+        entries.append(F.when(cond, F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v"))))
+    pairs = df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("p"))
+    rows = pairs.groupBy("p.k", "p.v").agg(F.count(F.lit(1)).alias("n")).collect()
+    per: dict[int, list[tuple[float, int]]] = {}
+    for r in rows:
+        per.setdefault(int(r["k"]), []).append((float(r["v"]), int(r["n"])))
+    for i, (c, ts) in enumerate(by_col.items()):
+        vals = sorted(per.get(i, []))
+        keys = [v for v, _ in vals]
+        cum, acc = [], 0
+        for _, n in vals:
+            acc += n
+            cum.append(acc)
         for t in ts:
-            r = t.rank - t.below
-            cum = 0
-            for v, n in vals:
-                if (t.lo != -math.inf and v < t.lo) or (t.hi != math.inf and v > t.hi):
-                    continue
-                cum += n
-                if cum > r:
-                    t.value = v
-                    break
+            # rows of the window = values in [lo, hi]; rank r inside it
+            a = bisect.bisect_left(keys, t.lo) if t.lo != -math.inf else 0
+            before = cum[a - 1] if a > 0 else 0
+            j = bisect.bisect_right(cum, before + (t.rank - t.below))
+            if j < len(keys):
+                t.value = keys[j]
 
 
 def order_statistics(df: DataFrame, col: str, ranks, n: int) -> dict[int, float]:
@@ -130,6 +146,15 @@ def exact_quantiles(df: DataFrame, cols, probs, cap: int = DEFAULT_CAP,
     probs = [float(p) for p in probs]
     if not cols:
         return {}
+    # several passes follow: keep only the needed columns, computed once
+    src = df.select(*[F.col(c) for c in dict.fromkeys(cols)]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _exact_quantiles(src, cols, probs, cap, counts)
+    finally:
+        src.unpersist()
+
+
+def _exact_quantiles(df, cols, probs, cap, counts):
     if counts is None:
         row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
         counts = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
