@@ -143,12 +143,13 @@ class LogTransformModel:
 
 
 def fit_log_transform(df: DataFrame, columns=None, target: str = HOUSING_TARGET,
-                      threshold: float = SKEW_THRESHOLD) -> LogTransformModel:
+                      threshold: float = SKEW_THRESHOLD, exclude=("id",)) -> LogTransformModel:
     """Given columns, or auto-detected |sample skew| > threshold;
     a column qualifies only if its minimum is >= 0 (a NULL minimum fails).
     One aggregation pass computes every skew and minimum."""
     auto = columns is None
-    cands = [c for c in numeric_columns(df) if c != target] if auto else [c for c in columns if c in df.columns]
+    cands = ([c for c in numeric_columns(df, exclude=tuple(exclude)) if c != target] if auto
+             else [c for c in columns if c in df.columns])
     if not cands:
         return LogTransformModel([])
     aggs = []
@@ -220,13 +221,13 @@ class FeatureEngineerModel:
 
 
 def fit_feature_engineer(df: DataFrame, target: str = HOUSING_TARGET, key: str = "Neighborhood",
-                         ref_year: int = REF_YEAR, log_columns=None) -> FeatureEngineerModel:
+                         ref_year: int = REF_YEAR, log_columns=None, exclude=("id",)) -> FeatureEngineerModel:
     """Age -> area -> quality -> target encoding -> auto log (in order).
     The skew scan sees the derived and encoded columns, as in the reference."""
     derived = derive(df, ref_year=ref_year)
     enc = fit_target_encoder(derived, key, target)
     encoded = enc.transform(derived)
-    log = fit_log_transform(encoded, log_columns, target)
+    log = fit_log_transform(encoded, log_columns, target, exclude=exclude)
     model = FeatureEngineerModel(ref_year, enc, log)
     model.added = [c for c in log.transform(encoded).columns if c not in df.columns]
     return model

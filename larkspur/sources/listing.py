@@ -20,8 +20,8 @@ PRIORITY_TO_QUALITY = {"1": "Ex", "2": "Gd", "3": "TA", "4": "Fa"}
 NOISE_BASE, NOISE_MULT, NOISE_MOD, NOISE_STEP = 0.93, 7919, 1000, 0.00014
 
 
-def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = read_table(spark, sf_dir, "lineitem").select(
+def _joined(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    l = (lineitem if lineitem is not None else read_table(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     o = read_table(spark, sf_dir, "orders").select(
@@ -39,9 +39,11 @@ def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
              .join(p, l.l_partkey == p.p_partkey))
 
 
-def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def listing(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """``lineitem`` may be a streaming frame: the other tables then join as
+    static sides (stream-static inner joins)."""
     c = F.col
-    j = _joined(spark, sf_dir)
+    j = _joined(spark, sf_dir, lineitem)
     ident = (((c("l_orderkey") * 20000 + c("l_partkey")) * 1000 + c("l_suppkey")) * 8
              + c("l_linenumber")).cast("long")
     year_built = (F.year("o_orderdate") - 100 + F.round("l_quantity")).cast("int")
