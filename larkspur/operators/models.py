@@ -22,9 +22,14 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut_lineage
 from .evaluate import regression_metrics
 
 SEED = 42
+# Execution-only tree settings (same model, fewer passes over the data):
+# more nodes split per pass, node ids cached between levels, lineage cut
+# every 10 iterations into the session's checkpoint folder.
+TREE_EXEC = dict(maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
 # Spark caps tree depth at 30; an "unlimited" depth maps to this cap.
 UNLIMITED_DEPTH = 10
 MODEL_ORDER = ("linear_regression", "ridge", "lasso", "decision_tree", "random_forest",
@@ -35,6 +40,12 @@ def make_estimator(name: str, label: str = "label", features: str = "features",
                    label_std: float | None = None, alpha: float = 1.0, **params):
     """One estimator with the reference's default settings (M1-M7)."""
     common = dict(featuresCol=features, labelCol=label, predictionCol="prediction")
+    if name in ("decision_tree", "random_forest", "gradient_boosting", "xgboost"):
+        from ..session import ensure_checkpoint_dir
+        from pyspark.sql import SparkSession
+        active = SparkSession.getActiveSession()
+        if active is not None:
+            ensure_checkpoint_dir(active)
     if name == "linear_regression":
         est = LinearRegression(regParam=0.0, solver="auto", **common)
     elif name == "ridge":
@@ -47,15 +58,15 @@ def make_estimator(name: str, label: str = "label", features: str = "features",
         est = LinearRegression(regParam=alpha, elasticNetParam=1.0, standardization=False,
                                maxIter=200, tol=1e-9, **common)
     elif name == "decision_tree":
-        est = DecisionTreeRegressor(maxDepth=UNLIMITED_DEPTH, maxBins=256, seed=SEED, **common)
+        est = DecisionTreeRegressor(maxDepth=UNLIMITED_DEPTH, maxBins=256, seed=SEED, **TREE_EXEC, **common)
     elif name == "random_forest":
         est = RandomForestRegressor(numTrees=100, featureSubsetStrategy="all", maxDepth=UNLIMITED_DEPTH,
-                                    maxBins=256, seed=SEED, **common)
+                                    maxBins=256, seed=SEED, **TREE_EXEC, **common)
     elif name == "gradient_boosting":
-        est = GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=SEED, **common)
+        est = GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=SEED, **TREE_EXEC, **common)
     elif name == "xgboost":
         # histogram-boosted trees re-aimed to MLlib GBT (depth 6, rate 0.3)
-        est = GBTRegressor(maxIter=100, maxDepth=6, stepSize=0.3, maxBins=256, seed=SEED, **common)
+        est = GBTRegressor(maxIter=100, maxDepth=6, stepSize=0.3, maxBins=256, seed=SEED, **TREE_EXEC, **common)
     else:
         raise ValueError(f"unknown model {name!r}")
     if params:
@@ -109,10 +120,10 @@ def train_models(train: DataFrame, test: DataFrame, features, label: str = "labe
     for p in preds[1:]:
         allp = allp.unionByName(p)
     m = regression_metrics(allp, by=["model", "ordinal", "split"], rounded=False)
-    res = results_table(m)
     tt = spark.createDataFrame([(k, float(v)) for k, v in times.items()], "model string, train_time double")
+    res = cut_lineage(results_table(m).join(tt, "model", "left"))   # one row per model
     train.unpersist()
-    return res.join(tt, "model", "left"), fitted
+    return res, fitted
 
 
 def results_table(metrics: DataFrame) -> DataFrame:

@@ -224,14 +224,14 @@ def _iqr_chain_sql(src: str, threshold: str = "3.0::DOUBLE") -> str:
     return ",\n".join(parts)
 
 
-@register("outlier_iqr", "F1", with_dirty_listing(",\n" + _iqr_chain_sql("dirty_listing") + """
+@register("outlier_iqr", "F1 J3", with_dirty_listing(",\n" + _iqr_chain_sql("dirty_listing") + """
 SELECT id, LotArea, GrLivArea, TotalBsmtSF, GarageArea FROM s4"""))
 def outlier_iqr(spark, sf):
     out = cl.remove_outliers_iqr(dirty_listing(spark, sf), list(_IQR_COLS), 3.0)
     return out.select("id", *_IQR_COLS)
 
 
-@register("outlier_zscore", "F2", with_dirty_listing(""",
+@register("outlier_zscore", "F2 J3", with_dirty_listing(""",
 st AS (SELECT """ + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m{i}, stddev_pop(CAST({c} AS DOUBLE)) AS s{i}"
                             for i, c in enumerate(_IQR_COLS)) + """ FROM dirty_listing)
 SELECT id, LotArea, GrLivArea, TotalBsmtSF, GarageArea FROM dirty_listing, st
