@@ -52,8 +52,9 @@ def make_estimator(name: str, label: str = "label", features: str = "features",
         # sklearn alpha*||w||^2 on the raw sum of squares == Spark's
         # (1/2n) objective with a standardised label: lambda = alpha*std(y)/n
         lam = alpha * (label_std or 1.0) / max(n_rows or 1, 1)
+        # pure L2: the normal-equation solver is exact (no line search)
         est = LinearRegression(regParam=lam, elasticNetParam=0.0, standardization=False,
-                               solver="l-bfgs", maxIter=200, tol=1e-9, **common)
+                               solver="normal", **common)
     elif name == "lasso":
         est = LinearRegression(regParam=alpha, elasticNetParam=1.0, standardization=False,
                                maxIter=200, tol=1e-9, **common)
