@@ -286,3 +286,25 @@ def json_request_parse(spark, sf):
     from ..sources.requests import parse_requests
     ev_df = read_table(spark, sf, "events").select("event_id", "props")
     return parse_requests(ev_df, "props", "k long", key="event_id").select("event_id", "k", "status")
+
+
+_REQ_FIELDS = ("LotArea", "YearBuilt", "YearRemodAdd", "TotalBsmtSF", "GrLivArea", "FullBath", "HalfBath",
+               "BedroomAbvGr", "TotRmsAbvGrd", "GarageArea", "PoolArea", "OverallQual", "OverallCond")
+
+
+@register("json_score_response", "S8 P26 M16", with_listing(f"""
+SELECT id, 'ok' AS status, {HEDONIC_SQL} AS HedonicPrice,
+       json_object('status', 'ok', 'predicted_price', {HEDONIC_SQL})::VARCHAR AS response
+FROM listing"""))
+def json_score_response(spark, sf):
+    """Request bodies (JSON text built from listing rows) -> parsed with an
+    explicit schema -> priced -> JSON response text, all in one plan."""
+    from ..sources.requests import parse_requests
+    d = listing(spark, sf)
+    body = d.select("id", F.to_json(F.struct(*_REQ_FIELDS, "Neighborhood", "ExterQual", "BldgType")).alias("body"))
+    schema = ", ".join(f"{c} long" for c in _REQ_FIELDS) + ", Neighborhood string, ExterQual string, BldgType string"
+    req = parse_requests(body, "body", schema, key="id")
+    priced = pr.hedonic_price(req)
+    return priced.select("id", "status", "HedonicPrice",
+                         F.to_json(F.struct(F.col("status"), F.col("HedonicPrice").alias("predicted_price")))
+                         .alias("response"))
