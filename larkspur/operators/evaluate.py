@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import FLOAT64_EPS, currency
-from ..functions.normal import norm_ppf
+from ..functions.normal import with_norm_ppf
 from .quantiles import exact_quantiles
 
 # The quality gate.
@@ -117,7 +117,8 @@ def qq_points(df: DataFrame, label: str = "actual", pred: str = "predicted", poi
     filliben = (F.when(i1 == 1, F.lit(1.0) - F.pow(F.lit(0.5), F.lit(1.0 / n)))
                  .when(i1 == n, F.pow(F.lit(0.5), F.lit(1.0 / n)))
                  .otherwise((i1 - 0.3175) / (n + 0.365)))
-    pts = pts.withColumn("theoretical", norm_ppf(filliben))
+    pts = with_norm_ppf(pts.withColumn("_p", filliben), "_p", "theoretical").drop("_p")
+    pts = pts.persist(StorageLevel.MEMORY_AND_DISK)    # <= points rows, read twice below
     line = pts.agg(F.regr_slope("ordered", "theoretical").alias("slope"),
                    F.regr_intercept("ordered", "theoretical").alias("intercept"))
     return pts.crossJoin(line).select("k", "rank", "theoretical", "ordered", "slope", "intercept")

@@ -31,7 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_CAP = 200_000
-APPROX_ACCURACY = 100_000
+# Spark's default sketch accuracy: each refinement round shrinks a window
+# about 2,500-fold, so even 10^12 rows resolve in three rounds.
+APPROX_ACCURACY = 10_000
+# a column whose (estimated) number of distinct values is at most
+# cap * SMALL_DOMAIN_SHARE is resolved directly from its value counts
+SMALL_DOMAIN_SHARE = 0.25
 MAX_ROUNDS = 8
 # above this many order statistics of one column the bucketed path is used
 MANY_TARGETS = 16
@@ -58,15 +63,17 @@ def _in_window(c, t: _Target):
     return cond & F.col(c).isNotNull()
 
 
-def _resolve_small(df: DataFrame, targets: list[_Target], cap: int) -> None:
-    """Exact rank lookup for windows holding at most ``cap`` rows each.
+def _resolve_small(df: DataFrame, targets: list[_Target], bound: int | None = None) -> bool:
+    """Exact rank lookup inside bounded windows.
 
     One job for all columns: every row contributes (column, value) for each
     column whose windows contain the value; a grouped count gives distinct
-    (column, value, count) rows -- at most the windows' total size, a proven
-    bound -- which are read and searched by cumulative count."""
+    (column, value, count) rows, which are read and searched by cumulative
+    count. The read is bounded: windows of at most ``cap`` rows each, or --
+    for small-domain columns -- an explicit ``bound`` enforced with a limit
+    (returns False, leaving the targets unresolved, when it is exceeded)."""
     if not targets:
-        return
+        return True
     by_col: dict[str, list[_Target]] = {}
     for t in targets:
         by_col.setdefault(t.col, []).append(t)
@@ -78,7 +85,13 @@ def _resolve_small(df: DataFrame, targets: list[_Target], cap: int) -> None:
             cond = w if cond is None else (cond | w)
         entries.append(F.when(cond, F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v"))))
     pairs = df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("p"))
-    rows = pairs.groupBy("p.k", "p.v").agg(F.count(F.lit(1)).alias("n")).collect()
+    grouped = pairs.groupBy("p.k", "p.v").agg(F.count(F.lit(1)).alias("n"))
+    if bound is not None:
+        rows = grouped.limit(bound + 1).collect()
+        if len(rows) > bound:
+            return False
+    else:
+        rows = grouped.collect()
     per: dict[int, list[tuple[float, int]]] = {}
     for r in rows:
         per.setdefault(int(r["k"]), []).append((float(r["v"]), int(r["n"])))
@@ -96,6 +109,7 @@ def _resolve_small(df: DataFrame, targets: list[_Target], cap: int) -> None:
             j = bisect.bisect_right(cum, before + (t.rank - t.below))
             if j < len(keys):
                 t.value = keys[j]
+    return True
 
 
 def order_statistics(df: DataFrame, col: str, ranks, n: int) -> dict[int, float]:
@@ -155,9 +169,11 @@ def exact_quantiles(df: DataFrame, cols, probs, cap: int = DEFAULT_CAP,
 
 
 def _exact_quantiles(df, cols, probs, cap, counts):
-    if counts is None:
-        row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-        counts = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
+    # first pass: non-NULL count and an HLL estimate of the distinct values
+    row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                 *[F.approx_count_distinct(F.col(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    counts = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
+    distinct = {c: int(row[f"d{i}"]) for i, c in enumerate(cols)}
     targets: dict[tuple[str, int], _Target] = {}
     plan: dict[str, list[tuple[int, int, float]]] = {}
     for c in cols:
@@ -174,12 +190,19 @@ def _exact_quantiles(df, cols, probs, cap, counts):
                 targets.setdefault((c, k), _Target(c, k, size=n))
             plan[c].append((k0, k1, frac))
 
+    # small domains (few distinct values, any row count): one job reads the
+    # exact value counts of all such columns; the limit proves the bound
+    small_dom = [c for c in cols if counts[c] > cap and distinct[c] <= cap * SMALL_DOMAIN_SHARE]
+    if small_dom:
+        bound = sum(2 * distinct[c] + 64 for c in small_dom)
+        _resolve_small(df, [t for t in targets.values() if t.col in small_dom], bound)
     by_col_count: dict[str, int] = {}
     for t in targets.values():
-        by_col_count[t.col] = by_col_count.get(t.col, 0) + 1
+        if t.value is None:
+            by_col_count[t.col] = by_col_count.get(t.col, 0) + 1
     for c, k in by_col_count.items():
         if k > MANY_TARGETS and counts[c] > cap:
-            ts = [t for t in targets.values() if t.col == c]
+            ts = [t for t in targets.values() if t.col == c and t.value is None]
             vals = order_statistics(df, c, [t.rank for t in ts], counts[c])
             for t in ts:
                 t.value = vals[t.rank]
@@ -189,7 +212,7 @@ def _exact_quantiles(df, cols, probs, cap, counts):
         for t in small:
             if t.lo == t.hi and t.lo not in (-math.inf, math.inf):
                 t.value = t.lo
-        _resolve_small(df, [t for t in small if t.value is None], cap)
+        _resolve_small(df, [t for t in small if t.value is None])
         pending = [t for t in pending if t.value is None]
         if not pending:
             break

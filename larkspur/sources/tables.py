@@ -14,8 +14,18 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 BROADCAST_MAX_ROWS = 100_000
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Parquet scan. An under-split input (fewer scan partitions than the
+    session's parallelism, e.g. one large row group) is spread round-robin
+    so every core works; a big table already has more splits than cores and
+    is left untouched (no extra shuffle at scale). Column pruning and filter
+    pushdown still reach the scan through the repartition."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if spread:
+        target = spark.sparkContext.defaultParallelism
+        if target > 1 and df.rdd.getNumPartitions() < target:
+            df = df.repartition(target)
+    return df
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
