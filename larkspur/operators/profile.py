@@ -131,12 +131,15 @@ def corr_with_target(df: DataFrame, target: str = HOUSING_TARGET, cols=None) ->
               .orderBy(F.desc_nulls_last("corr"), "column"))
 
 
-def corr_matrix_top(df: DataFrame, target: str = HOUSING_TARGET, top_n: int = 15) -> DataFrame:
+def corr_matrix_top(df: DataFrame, target: str = HOUSING_TARGET, top_n: int = 15,
+                    rank_digits: int = 10) -> DataFrame:
     """Top-n columns by |corr| with the target (the target itself is
-    first), then all pairs (i > j in that order) in one aggregation."""
+    first), then all pairs (i > j in that order) in one aggregation.
+    |corr| is ranked at ``rank_digits`` decimals, ties by name, so exactly
+    collinear columns do not swap places on floating-point noise."""
     num = numeric_columns(df)
     if target in num:
-        ranked = corr_with_target(df, target, num).withColumn("a", F.abs("corr"))
+        ranked = corr_with_target(df, target, num).withColumn("a", F.round(F.abs("corr"), rank_digits))
         top = [r["column"] for r in ranked.orderBy(F.desc_nulls_last("a"), "column").limit(top_n).collect()]
     else:
         top = num[:top_n]

@@ -109,7 +109,7 @@ CORR_TOP_N = 8
           FROM listing) ON {', '.join(NUM_T)} INTO NAME feature VALUE v)),
   y AS (SELECT id, CAST(SalePrice AS DOUBLE) AS y FROM listing),
   r AS (SELECT feature, abs(corr(u.v, y.y)) AS a FROM u JOIN y USING (id) GROUP BY feature),
-  top AS (SELECT feature FROM r ORDER BY a DESC, feature LIMIT {CORR_TOP_N})
+  top AS (SELECT feature FROM r ORDER BY round(a, 10) DESC, feature LIMIT {CORR_TOP_N})
 SELECT a.feature AS col_i, b.feature AS col_j, round(corr(a.v, b.v), 6) AS corr
 FROM u a JOIN u b ON a.id = b.id AND a.feature > b.feature
 WHERE a.feature IN (SELECT feature FROM top) AND b.feature IN (SELECT feature FROM top)
