@@ -248,8 +248,12 @@ def linear_coefficients(model) -> tuple[list[float], float]:
     return stage.coefficients.toArray().tolist(), float(stage.intercept)
 
 
+# rows per permutation bucket: each bucket is ranked by one window task
+ROWS_PER_PERMUTATION_BUCKET = 2_000_000
+
+
 def permutation_importance(model, df: DataFrame, features, label: str = "label", key: str = "id",
-                           seed: int = SEED, buckets: int = 64) -> DataFrame:
+                           seed: int = SEED, buckets: int | None = None) -> DataFrame:
     """Model-free importance: drop in R2 when one feature's values are
     permuted across rows. The permutation is a join of two hash orders
     within hash buckets (windows per bucket), so no global sort and no
@@ -259,6 +263,9 @@ def permutation_importance(model, df: DataFrame, features, label: str = "label",
     from ..functions.hashing import mix_key
     base_r2 = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="r2").evaluate(
         model.transform(df))
+    if buckets is None:
+        # bucket count grows with the data, so each window task stays bounded
+        buckets = max(64, -(-df.count() // ROWS_PER_PERMUTATION_BUCKET))
     b = F.pmod(mix_key(key, seed), F.lit(buckets))
     with_pos = df.withColumn("_b", b).withColumn(
         "_r1", F.row_number().over(Window.partitionBy("_b").orderBy(mix_key(key, seed + 1), key))).withColumn(

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.moments import sample_kurtosis, sample_skewness
 from ..roles import HOUSING_TARGET, numeric_columns, string_columns
+from ..sources.tables import broadcast_if_small
 from .quantiles import quantiles
 
 
@@ -191,8 +192,11 @@ def boxplot_stats(df: DataFrame, value: str, by: str | None = None) -> DataFrame
                    F.col("q")[2].alias("q3")))
     q = q.withColumn("fence_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("fence_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = df.select(*keys, x.alias("_x")).join(q.select(*keys, "fence_lo", "fence_hi"), keys, "inner") \
-        if keys else df.select(x.alias("_x")).crossJoin(F.broadcast(q.select("fence_lo", "fence_hi")))
+    # one fence row per group: broadcast behind the size check (a hot group
+    # then needs no shuffle at all); one row when there are no groups
+    fences = q.select(*keys, "fence_lo", "fence_hi")
+    j = df.select(*keys, x.alias("_x")).join(broadcast_if_small(fences), keys, "inner") \
+        if keys else df.select(x.alias("_x")).crossJoin(F.broadcast(fences))
     inside = (F.col("_x") >= F.col("fence_lo")) & (F.col("_x") <= F.col("fence_hi"))
     w = j.groupBy(*keys).agg(
         F.min(F.when(inside, F.col("_x"))).alias("whisker_lo"),

@@ -43,13 +43,9 @@ def assign_folds(df: DataFrame, key: str = "id", k: int = 5, seed: int = SPLIT_S
     return df.withColumn(col, bucket(key, k, seed + 1, string_key=_is_string_key(df, key)).cast("int"))
 
 
-def learning_curve_subsets(df: DataFrame, key: str = "id", fractions=None, seed: int = SPLIT_SEED,
-                           buckets: int = SPLIT_BUCKETS) -> DataFrame:
-    """Nested subsets; a row belongs to every fraction >= its bucket
-    share. Emits (fraction, row...) by exploding the qualifying fractions."""
-    fractions = fractions or [round(0.1 * i, 1) for i in range(1, 11)]
+def with_curve_share(df: DataFrame, key: str = "id", seed: int = SPLIT_SEED,
+                     buckets: int = SPLIT_BUCKETS, col: str = "curve_share") -> DataFrame:
+    """R3 without duplication: a per-row share in [0, 1); the subset for
+    fraction f is ``curve_share < f`` (nested by construction)."""
     b = bucket(key, buckets, seed + 2, string_key=_is_string_key(df, key))
-    fr = F.array(*[F.lit(float(f)) for f in fractions])
-    return (df.withColumn("_b", b)
-              .withColumn("fraction", F.explode(F.filter(fr, lambda f: F.col("_b") < f * buckets)))
-              .drop("_b"))
+    return df.withColumn(col, b.cast("double") / float(buckets))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import bucket_sql
 from ..operators import features as fe
 from ..operators import models as md
-from ..operators.split import learning_curve_subsets
+from ..operators.split import with_curve_share
 from ..sources import files
 from ..sources.listing import dirty_listing, listing
 from ..streaming.score_stream import score_stream
@@ -207,12 +207,11 @@ def stream_score(spark, sf):
 def learning_curve(spark, sf):
     d = _frame(spark, sf)
     train, test = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
-    subsets = learning_curve_subsets(train).persist(StorageLevel.MEMORY_AND_DISK)
+    shared = with_curve_share(train).persist(StorageLevel.MEMORY_AND_DISK)
     from ..operators.evaluate import regression_metrics
     rows = []
-    fracs = [r["fraction"] for r in subsets.select("fraction").distinct().collect()]
-    for f in sorted(fracs):
-        part = subsets.filter(F.col("fraction") == f)
+    for f in [round(0.1 * i, 1) for i in range(1, 11)]:
+        part = shared.filter(F.col("curve_share") < f)      # nested subsets, no row copies
         m = md.make_pipeline("linear_regression", tr.MODEL_FEATURES, "label").fit(part)
         for split, frame in (("train", part), ("test", test)):
             p = m.transform(frame).select(F.col("label").alias("actual"), F.col("prediction").alias("predicted"))

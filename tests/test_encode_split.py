@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators import encode as en
-from larkspur.operators.split import assign_folds, assign_split, learning_curve_subsets, train_test_split
+from larkspur.operators.split import assign_folds, assign_split, train_test_split, with_curve_share
 from larkspur.roles import string_columns
 
 
@@ -70,6 +70,7 @@ def test_folds_and_learning_curve(spark):
     f = assign_folds(df, k=5).groupBy("fold").count().collect()
     assert sorted(r["fold"] for r in f) == [0, 1, 2, 3, 4]
     assert all(1700 < r["count"] < 2300 for r in f)
-    lc = learning_curve_subsets(df).groupBy("fraction").count().orderBy("fraction").collect()
-    counts = [r["count"] for r in lc]
+    shared = with_curve_share(df)
+    counts = [shared.filter(F.col("curve_share") < f / 10).count() for f in range(1, 11)]
     assert counts == sorted(counts) and counts[-1] == 10000   # nested, full at 100 %
+    assert abs(counts[4] - 5000) < 300
