@@ -171,7 +171,8 @@ def batch_score(spark, sf):
     return out
 
 
-@register("sink_roundtrip", "S1 S3")
+@register("sink_roundtrip", "S1 S3", with_dirty_listing("""
+SELECT * FROM dirty_listing"""))
 def sink_roundtrip(spark, sf):
     """Write the dirty table as CSV with NA for NULL, read it back through
     the NA-aware CSV scan with an explicit schema."""
@@ -180,7 +181,11 @@ def sink_roundtrip(spark, sf):
     return files.read_csv(spark, path, d.schema)
 
 
-@register("csv_scan_na", "S1")
+@register("csv_scan_na", "S1", with_dirty_listing("""
+SELECT count(*) AS "rows", CAST(count(*) - count(GrLivArea) AS BIGINT) AS null_GrLivArea,
+       CAST(count(*) - count(LotArea) AS BIGINT) AS null_LotArea,
+       CAST(count(*) - count(MSZoning) AS BIGINT) AS null_MSZoning,
+       CAST(count(*) - count(ExterQual) AS BIGINT) AS null_ExterQual FROM dirty_listing"""))
 def csv_scan_na(spark, sf):
     back = sink_roundtrip(spark, sf)
     return back.agg(F.count(F.lit(1)).alias("rows"),
@@ -188,7 +193,9 @@ def csv_scan_na(spark, sf):
                       for c in ("GrLivArea", "LotArea", "MSZoning", "ExterQual")])
 
 
-@register("split_sink_roundtrip", "S4")
+@register("split_sink_roundtrip", "S4", with_listing(f"""
+SELECT CASE WHEN {bucket_sql('id', 10000, 42)} < 2000 THEN 'test' ELSE 'train' END AS split, count(*) AS n
+FROM listing GROUP BY 1"""))
 def split_sink_roundtrip(spark, sf):
     d = _frame(spark, sf)
     path = files.write_split_pair(d, files.scratch_path(spark, "split-pair"))
@@ -241,15 +248,51 @@ def train_end_to_end(spark, sf):
 
 # ----------------------------------------------------- feature step digest
 
-@register("feature_engineering_all", "P17 P16 T7")
+_DERIVED_SQL = """
+  2024 - YearBuilt AS HouseAge, YearRemodAdd - YearBuilt AS RemodelAge,
+  CAST(CASE WHEN YearRemodAdd - YearBuilt > 0 THEN 1 ELSE 0 END AS INTEGER) AS IsRemodeled,
+  2024 - YearRemodAdd AS YearsAfterRemodel,
+  coalesce(CAST(GrLivArea AS DOUBLE), 0.0::DOUBLE) + coalesce(CAST(TotalBsmtSF AS DOUBLE), 0.0::DOUBLE) AS TotalSF,
+  CAST(FullBath AS DOUBLE) + HalfBath * 0.5::DOUBLE AS TotalBathrooms,
+  CAST(CASE WHEN PoolArea > 0 THEN 1 ELSE 0 END AS INTEGER) AS HasPool,
+  CAST(CASE WHEN GarageArea > 0 THEN 1 ELSE 0 END AS INTEGER) AS HasGarage,
+  CAST(LotArea AS DOUBLE) / CAST(TotRmsAbvGrd + 1 AS DOUBLE) AS LotAreaPerRoom,
+  CAST(GrLivArea AS DOUBLE) / (CAST(FullBath AS DOUBLE) + HalfBath * 0.5::DOUBLE + 1.0::DOUBLE) AS AreaPerBath,
+  OverallQual * OverallCond AS QualityScore,
+  CAST(OverallQual AS DOUBLE) / CAST(OverallCond + 1 AS DOUBLE) AS QualCondRatio,
+  CAST(CASE WHEN OverallQual >= 8 THEN 1 ELSE 0 END AS INTEGER) AS IsHighQuality"""
+_ADDED = ("HouseAge", "RemodelAge", "IsRemodeled", "YearsAfterRemodel", "TotalSF", "TotalBathrooms", "HasPool",
+          "HasGarage", "LotAreaPerRoom", "AreaPerBath", "QualityScore", "QualCondRatio", "IsHighQuality",
+          "NeighborhoodAvgPrice")
+_CANDS = _NUM + _ADDED
+_FE_SQL = with_listing(f""",
+fe0 AS (SELECT *, {_DERIVED_SQL} FROM listing),
+means AS (SELECT Neighborhood AS k, avg(CAST(SalePrice AS DOUBLE)) AS m FROM listing
+          WHERE Neighborhood IS NOT NULL GROUP BY Neighborhood),
+g AS (SELECT avg(m) AS d FROM means),
+fe1 AS (SELECT fe0.*, coalesce(means.m, g.d) AS NeighborhoodAvgPrice
+        FROM fe0 LEFT JOIN means ON fe0.Neighborhood = means.k CROSS JOIN g),
+u AS (SELECT feature, v FROM (UNPIVOT (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _CANDS)} FROM fe1)
+      ON {', '.join(_CANDS)} INTO NAME feature VALUE v)),
+chosen AS (SELECT feature FROM u GROUP BY feature HAVING abs(skewness(v)) > 0.75 AND min(v) >= 0)
+SELECT feature, count(v) AS n, round(avg(v), 3) AS mean FROM u
+WHERE feature IN ({', '.join(repr(c) for c in _ADDED)}) GROUP BY feature
+UNION ALL
+SELECT feature || '_log', count(v), round(avg(ln(1 + v)), 3) FROM u
+WHERE feature IN (SELECT feature FROM chosen) GROUP BY feature""")
+
+
+@register("feature_engineering_all", "P17 P16 T7", _FE_SQL)
 def feature_engineering_all(spark, sf):
-    """Full feature step fitted on all rows; digest per added column."""
+    """Full feature step fitted on all rows (as the reference); per added
+    column: non-NULL count and mean (the auto log set is data-dependent, the
+    oracle re-derives it from the same skewness rule)."""
     df = listing(spark, sf).drop("id")
     model = fe.fit_feature_engineer(df, "SalePrice")
     out = model.transform(df)
     added = model.added
     one = out.agg(*[F.struct(F.lit(c).alias("feature"), F.count(F.col(c)).alias("n"),
-                             F.round(F.sum(F.col(c).cast("double")), 4).alias("total")).alias(f"s{i}")
+                             F.round(F.avg(F.col(c).cast("double")), 3).alias("mean")).alias(f"s{i}")
                     for i, c in enumerate(added)])
     return one.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(added))])).alias("s")).select("s.*")
 
