@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..roles import HOUSING, ColumnRoles
-from ..sources.tables import cut_lineage
 from .quantiles import quantiles
 
 # Constant fills applied by the reference after imputation.
@@ -124,17 +124,24 @@ def iqr_bounds(df: DataFrame, col: str, threshold: float = 3.0, exact: bool = Tr
 def remove_outliers_iqr(df: DataFrame, columns=None, threshold: float = 3.0,
                         exact: bool = True) -> DataFrame:
     """F1, sequential: the quartiles of column k come from the rows that
-    survived columns 1..k-1. Each stage is checkpointed (reliable, shared
-    storage) so later stages neither recompute the scan nor grow lineage."""
+    survived columns 1..k-1. Only the screened columns are persisted (one
+    narrow projection, recomputable from lineage on executor loss); each
+    step adds literal bounds to one conjunction, and the input is filtered
+    once at the end -- literal bounds that Catalyst can push to the scan."""
     cols = [c for c in (columns or HOUSING.outlier) if c in df.columns]
-    cur = df
-    for c in cols:
-        lo, hi = iqr_bounds(cur, c, threshold, exact)
-        if lo is None:
-            cur = cur.limit(0)
-            continue
-        cur = cut_lineage(cur.filter((F.col(c) >= F.lit(lo)) & (F.col(c) <= F.lit(hi))))
-    return cur
+    if not cols:
+        return df
+    narrow = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    cond = F.lit(True)
+    try:
+        for c in cols:
+            lo, hi = iqr_bounds(narrow.filter(cond), c, threshold, exact)
+            if lo is None:
+                return df.limit(0)
+            cond = cond & (F.col(c) >= F.lit(lo)) & (F.col(c) <= F.lit(hi))
+    finally:
+        narrow.unpersist()
+    return df.filter(cond)
 
 
 def remove_outliers_zscore(df: DataFrame, columns=None, threshold: float = 3.0) -> DataFrame:
