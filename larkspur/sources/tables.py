@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+# Scans smaller than this are never spread (a shuffle would cost more than
+# the parallelism gains).
+SPREAD_MIN_BYTES = 1 << 20
 # A side is broadcast only when its row count is proven below this bound.
 BROADCAST_MAX_ROWS = 100_000
 
@@ -23,11 +26,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True)
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     if spread:
         target = spark.sparkContext.defaultParallelism
-        if target > 1 and df.rdd.getNumPartitions() < target:
+        if target > 1 and df.rdd.getNumPartitions() < target and _plan_bytes(df) >= SPREAD_MIN_BYTES:
             df = df.repartition(target)
     return df
 
 
+def _plan_bytes(df: DataFrame) -> int:
+    """Optimizer size estimate of a plan (file sizes for a scan)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - estimate unavailable: treat as large
+        return SPREAD_MIN_BYTES
+
+
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     for n in names:
         path = os.path.join(sf_dir, f"{n}.parquet")
