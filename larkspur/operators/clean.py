@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..roles import HOUSING, ColumnRoles
+from ..sources.tables import persisted
 from .quantiles import quantiles
 
 # Constant fills applied by the reference after imputation.
@@ -74,6 +75,11 @@ def fit_imputer(df: DataFrame, roles: ColumnRoles = HOUSING, strategy: str = "me
     leaves imputers unfitted when the training frame has no NULL)."""
     r = roles.present(df)
     num, cat = list(r.numeric), list(r.categorical)
+    with persisted(df, num + cat) as src:
+        return _fit_imputer(src, num, cat, strategy, exact, constants, constants_first)
+
+
+def _fit_imputer(df, num, cat, strategy, exact, constants, constants_first) -> ImputerModel:
     if strategy == "median":
         q = quantiles(df, num, [0.5], exact=exact)
         num_fill = {c: q[c][0] for c in num}

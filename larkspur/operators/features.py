@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.moments import sample_skewness
 from ..functions.numeric import flag, null_sum, safe_div
 from ..roles import HOUSING_TARGET, numeric_columns
-from ..sources.tables import broadcast_if_small, cut_lineage
+from ..sources.tables import broadcast_if_small, cut_lineage, persisted
 
 # Fixed value: the reference's "current year".
 REF_YEAR = 2024
@@ -225,9 +225,12 @@ def fit_feature_engineer(df: DataFrame, target: str = HOUSING_TARGET, key: str =
     """Age -> area -> quality -> target encoding -> auto log (in order).
     The skew scan sees the derived and encoded columns, as in the reference."""
     derived = derive(df, ref_year=ref_year)
-    enc = fit_target_encoder(derived, key, target)
-    encoded = enc.transform(derived)
-    log = fit_log_transform(encoded, log_columns, target, exclude=exclude)
+    # the encoder fit and the skew scan both read the derived numeric columns
+    keep = [c for c in derived.columns if c == key or c == target or c in numeric_columns(derived)]
+    with persisted(derived, keep) as src:
+        enc = fit_target_encoder(src, key, target)
+        encoded = enc.transform(src)
+        log = fit_log_transform(encoded, log_columns, target, exclude=exclude)
     model = FeatureEngineerModel(ref_year, enc, log)
-    model.added = [c for c in log.transform(encoded).columns if c not in df.columns]
+    model.added = [c for c in log.transform(enc.transform(derived)).columns if c not in df.columns]
     return model

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.moments import sample_kurtosis, sample_skewness
 from ..roles import HOUSING_TARGET, numeric_columns, string_columns
-from ..sources.tables import broadcast_if_small
+from ..sources.tables import broadcast_if_small, persisted
 from .quantiles import quantiles
 
 
@@ -73,14 +73,14 @@ def numeric_describe(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
     """A5: count, mean, std (ddof 1), min, 25/50/75 % (interpolated), max."""
     cols = cols or numeric_columns(df)
     spark = df.sparkSession
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    row = df.agg(*aggs).first()
-    q = quantiles(df, cols, [0.25, 0.5, 0.75], exact=exact,
-                  counts={c: int(row[f"n{i}"]) for i, c in enumerate(cols)})
+    with persisted(df, cols) as src:
+        aggs = []
+        for i, c in enumerate(cols):
+            x = F.col(c).cast("double")
+            aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
+                     F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        row = src.agg(*aggs).first()
+        q = quantiles(src, cols, [0.25, 0.5, 0.75], exact=exact)
     schema = T.StructType([T.StructField("column", T.StringType())] + [
         T.StructField(n, T.LongType() if n == "count" else T.DoubleType())
         for n in ("count", "mean", "std", "min", "q25", "q50", "q75", "max")])
@@ -92,13 +92,15 @@ def numeric_describe(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
 def target_stats(df: DataFrame, target: str = HOUSING_TARGET, exact: bool = True) -> DataFrame:
     """Mean, median, std, min, max, skewness, excess kurtosis (corrected)."""
     x = F.col(target).cast("double")
-    stats = df.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                   F.max(x).alias("max"), sample_skewness(x).alias("skewness"),
-                   sample_kurtosis(x).alias("kurtosis"), F.count(x).alias("_n"))
-    n = stats.first()["_n"]
-    med = quantiles(df, [target], [0.5], exact=exact, counts={target: int(n)})[target][0]
-    return stats.select("mean", F.lit(med).cast("double").alias("median"), "std", "min", "max",
-                        "skewness", "kurtosis")
+    with persisted(df, [target]) as src:
+        r = src.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+                    F.max(x).alias("max"), sample_skewness(x).alias("skewness"),
+                    sample_kurtosis(x).alias("kurtosis")).first()
+        med = quantiles(src, [target], [0.5], exact=exact)[target][0]
+    schema = ("mean double, median double, std double, min double, max double, skewness double, "
+              "kurtosis double")
+    return df.sparkSession.createDataFrame(
+        [(r["mean"], med, r["std"], r["min"], r["max"], r["skewness"], r["kurtosis"])], schema)
 
 
 def group_mean(df: DataFrame, key: str, target: str = HOUSING_TARGET) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True)
     if spread:
         target = spark.sparkContext.defaultParallelism
         if target > 1 and df.rdd.getNumPartitions() < target and _plan_bytes(df) >= SPREAD_MIN_BYTES:
-            df = df.repartition(target)
+            # hash on the leading key column: deterministic on task retry
+            # without the pre-sort a round-robin repartition needs
+            df = df.repartition(target, df.columns[0])
     return df
 
 
@@ -65,3 +69,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def persisted(df: DataFrame, cols=None):
+    """A pruned projection kept for the passes of one fit (MEMORY_AND_DISK:
+    spills instead of failing, recomputed from lineage if an executor is
+    lost) and released afterwards."""
+    src = (df.select(*[F.col(c) for c in dict.fromkeys(cols)]) if cols else df)
+    src = src.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield src
+    finally:
+        src.unpersist()
