@@ -49,3 +49,46 @@ def with_curve_share(df: DataFrame, key: str = "id", seed: int = SPLIT_SEED,
     fraction f is ``curve_share < f`` (nested by construction)."""
     b = bucket(key, buckets, seed + 2, string_key=_is_string_key(df, key))
     return df.withColumn(col, b.cast("double") / float(buckets))
+
+
+def assign_split_exact(df: DataFrame, key: str = "id", test_share: float = 0.2, seed: int = SPLIT_SEED,
+                       buckets: int = SPLIT_BUCKETS, cap: int = 200_000, max_levels: int = 6) -> DataFrame:
+    """T9 with an exact test size round(test_share * n) (``key`` unique).
+
+    Whole hash buckets are assigned in bucket order; only the boundary
+    bucket is refined with a fresh hash level, until it holds at most
+    ``cap`` rows, whose keys are then read (a proven bound) to place the
+    cut. Every step is a grouped count of at most ``buckets`` rows: no
+    global sort, no row numbers over the whole table."""
+    string_key = _is_string_key(df, key)
+    n = df.count()
+    remaining = int(round(test_share * n))
+    in_test = F.lit(False)
+    scope = F.lit(True)           # rows still undecided: the boundary bucket chain
+    for level in range(max_levels):
+        if remaining == 0:
+            break
+        b = bucket(key, buckets, seed + 10 + level, string_key=string_key)
+        counts = sorted((int(r["b"]), int(r["n"])) for r in
+                        df.filter(scope).groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+        taken, boundary, bsize = 0, None, 0
+        for bi, c in counts:
+            if taken + c <= remaining:
+                taken += c
+                continue
+            boundary, bsize = bi, c
+            break
+        if boundary is None:          # every undecided row goes to test
+            in_test = in_test | scope
+            remaining = 0
+            break
+        in_test = in_test | (scope & (b < F.lit(boundary)))
+        remaining -= taken
+        scope = scope & (b == F.lit(boundary))
+        if bsize <= cap:
+            keys = sorted(r[0] for r in df.filter(scope).select(key).collect())   # <= cap rows
+            if remaining > 0:
+                in_test = in_test | (scope & (F.col(key) <= F.lit(keys[remaining - 1])))
+            remaining = 0
+            break
+    return df.withColumn("split", F.when(in_test, F.lit("test")).otherwise(F.lit("train")))

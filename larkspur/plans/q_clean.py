@@ -360,3 +360,13 @@ def hash_split(spark, sf):
     f"SELECT id, CAST({bucket_sql('id', 5, 43)} AS INTEGER) AS fold FROM listing"))
 def kfold_assign(spark, sf):
     return assign_folds(listing(spark, sf).select("id"), k=5)
+
+
+@register("hash_split_exact", "T9", with_listing(f""",
+o AS (SELECT id, row_number() OVER (ORDER BY {bucket_sql('id', 10000, 52)}, id) AS rn,
+             count(*) OVER () AS n FROM listing)
+SELECT id, CASE WHEN rn <= CAST(round(0.2 * n) AS BIGINT) THEN 'test' ELSE 'train' END AS split FROM o"""))
+def hash_split_exact(spark, sf):
+    """Exact test size: whole hash buckets, then the boundary bucket cut by key."""
+    from ..operators.split import assign_split_exact
+    return assign_split_exact(listing(spark, sf).select("id"))

@@ -74,3 +74,14 @@ def test_folds_and_learning_curve(spark):
     counts = [shared.filter(F.col("curve_share") < f / 10).count() for f in range(1, 11)]
     assert counts == sorted(counts) and counts[-1] == 10000   # nested, full at 100 %
     assert abs(counts[4] - 5000) < 300
+
+
+def test_exact_split_size(spark):
+    from larkspur.operators.split import assign_split_exact
+    df = spark.range(12345)
+    for cap in (200_000, 3):          # direct cut and refined boundary levels
+        s = assign_split_exact(df, cap=cap)
+        assert s.filter(F.col("split") == "test").count() == round(0.2 * 12345)
+    s1 = {r["id"] for r in assign_split_exact(df).filter("split = 'test'").collect()}
+    s2 = {r["id"] for r in assign_split_exact(df.repartition(5)).filter("split = 'test'").collect()}
+    assert s1 == s2
