@@ -31,10 +31,14 @@ class Preprocessed:
 
 
 def preprocess(df: DataFrame, roles: ColumnRoles = HOUSING, key: str = "id", test_share: float = 0.2,
-               seed: int = 42, outlier_threshold: float = 3.0) -> Preprocessed:
+               seed: int = 42, outlier_threshold: float = 3.0, impute_extra=()) -> Preprocessed:
     """Impute -> IQR filter (fit path only) -> encode -> split -> robust
-    scale fitted on train. The row-dropping step never runs when scoring."""
-    imputer = cl.fit_imputer(df, roles)
+    scale fitted on train. The row-dropping step never runs when scoring.
+    ``impute_extra`` adds numeric columns (e.g. derived ones) to the
+    imputer only; scaling stays on the configured numeric columns."""
+    from dataclasses import replace
+    imp_roles = replace(roles, numeric=tuple(dict.fromkeys(tuple(roles.numeric) + tuple(impute_extra))))
+    imputer = cl.fit_imputer(df, imp_roles)
     imputed = imputer.transform(df)
     kept = cl.remove_outliers_iqr(imputed, roles.outlier, outlier_threshold)
     encoder = en.fit_categorical_encoder(kept, roles)
@@ -55,7 +59,9 @@ def train_end_to_end(df: DataFrame, roles: ColumnRoles = HOUSING, names=md.MODEL
     Returns (results, best_name, best_model, importance)."""
     feng = fe.fit_feature_engineer(df, roles.target, exclude=(key,))
     derived = feng.transform(df)
-    pre = preprocess(derived, roles, key)
+    from ..roles import numeric_columns
+    extra = [c for c in numeric_columns(derived) if c not in (key, roles.target)]
+    pre = preprocess(derived, roles, key, impute_extra=extra)
     label = roles.target
     data = pre.data.withColumn(label, F.col(label).cast("double"))
     train = data.filter(F.col("split") == "train")
@@ -65,9 +71,13 @@ def train_end_to_end(df: DataFrame, roles: ColumnRoles = HOUSING, names=md.MODEL
     results = results.persist(StorageLevel.MEMORY_AND_DISK)
     best = md.select_best(results, select_metric).first()["model"]
     importance = md.feature_importance(fitted[best], feats, 20, df.sparkSession)
+    # one artifact: feature step + imputer + encoder + scaler + assembler + model
+    from .stages import feature_stages, preprocessing_stages, scoring_pipeline
+    full = scoring_pipeline(feature_stages(feng) + preprocessing_stages(pre.imputer, pre.encoder, pre.scaler),
+                            fitted[best])
     if model_path:
-        md.save_model(fitted[best], model_path)
-    return results, best, fitted[best], importance
+        md.save_model(full, model_path)
+    return results, best, full, importance
 
 
 def full_evaluation(model: PipelineModel, test: DataFrame, label: str, n_features: int,

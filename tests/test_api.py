@@ -33,3 +33,17 @@ def test_facade_pipeline(spark, sample_df):
     assert all(t != "string" for _, t in train.dtypes)
     eng = api.FeatureEngineer()
     assert "HouseAge" in eng.run_all(sample_df).columns
+
+
+def test_end_to_end_artifact_scores_raw_rows(spark, sample_df, tmp_path):
+    """M22 + S5/S6: the saved artifact holds every fitted step, so it scores
+    raw (unprocessed) rows after a reload."""
+    from larkspur.plans.training import train_end_to_end
+    raw = sample_df.withColumn("GrLivArea", F.when(F.col("id") < 3, None).otherwise(F.col("GrLivArea")))
+    path = str(tmp_path / "best")
+    results, best, full, _ = train_end_to_end(raw, names=("linear_regression", "decision_tree"), model_path=path)
+    assert results.count() == 2 and best in ("linear_regression", "decision_tree")
+    again = md.load_model(path)
+    a = full.transform(raw.drop("SalePrice")).select("id", "prediction").orderBy("id").collect()
+    b = again.transform(raw.drop("SalePrice")).select("id", "prediction").orderBy("id").collect()
+    assert len(a) == 100 and a == b
