@@ -43,7 +43,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True)
 def _plan_bytes(df: DataFrame) -> int:
     """Optimizer size estimate of a plan (file sizes for a scan)."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size) if isinstance(size, int) else int(size.toString())
     except Exception:  # noqa: BLE001 - estimate unavailable: treat as large
         return SPREAD_MIN_BYTES
 
