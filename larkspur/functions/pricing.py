@@ -83,8 +83,15 @@ def base_price(qual="OverallQual", cond="OverallCond", area="GrLivArea", bsmt="T
     return out
 
 
-def clip_round_price(raw: Column) -> Column:
-    """Clip to the price range, truncate to an integer, round to 100."""
-    clipped = F.floor(F.least(F.greatest(raw, F.lit(float(PRICE_MIN))), F.lit(float(PRICE_MAX))))
-    shifted = clipped + F.lit(PRICE_STEP // 2)
-    return (shifted - F.pmod(shifted, F.lit(PRICE_STEP))).cast("long")
+def with_clip_round_price(df, raw: Column, output: str):
+    """Clip to the price range, truncate to an integer, round to 100.
+
+    The floored price is staged as its own column: it is referenced twice
+    by the rounding, and a collapsed projection would otherwise repeat the
+    whole formula tree per reference (large enough to fall out of
+    whole-stage code generation)."""
+    floored = F.floor(F.least(F.greatest(raw, F.lit(float(PRICE_MIN))), F.lit(float(PRICE_MAX))))
+    shifted = F.col("_price_floor") + F.lit(PRICE_STEP // 2)
+    return (df.withColumn("_price_floor", floored)
+              .withColumn(output, (shifted - F.pmod(shifted, F.lit(PRICE_STEP))).cast("long"))
+              .drop("_price_floor"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pricing import MULTIPLIERS, base_price, clip_round_price, multiplier
+from ..functions.pricing import MULTIPLIERS, base_price, multiplier, with_clip_round_price
 
 
 def multipliers(df: DataFrame, strict: bool = False) -> dict:
@@ -48,7 +48,7 @@ def hedonic_price(df: DataFrame, output: str = "HedonicPrice", strict: bool = Fa
             raise KeyError(f"no multiplier for {bad[0]['column']}={bad[0]['value']!r}")
     m = multipliers(df, strict)
     raw = base_price() * m["Neighborhood"] * m["ExterQual"] * m["KitchenQual"] * m["BldgType"]
-    return df.withColumn(output, clip_round_price(raw))
+    return with_clip_round_price(df, raw, output)
 
 
 def what_if(base: DataFrame, feature: str, values, price_fn=hedonic_price, key: str = "id",

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pricing import EXTER_MULT, base_price, clip_round_price, multiplier
+from ..functions.pricing import EXTER_MULT, base_price, multiplier, with_clip_round_price
 from .tables import broadcast_if_small, read_table
 
 # ExterQual from the first character of o_orderpriority.
@@ -81,7 +81,7 @@ def listing(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None)
     )
     noise = F.lit(NOISE_BASE) + F.pmod(c("id") * NOISE_MULT, F.lit(NOISE_MOD)) * NOISE_STEP
     raw = base_price() * multiplier("ExterQual", EXTER_MULT, 1.0) * noise
-    return stage1.withColumn("SalePrice", clip_round_price(raw))
+    return with_clip_round_price(stage1, raw, "SalePrice")
 
 
 # Dirt injected for the cleaning operators (same arithmetic in the SQL twin).

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-# Scans smaller than this are never spread (a shuffle would cost more than
-# the parallelism gains).
-SPREAD_MIN_BYTES = 1 << 20
+# Scans smaller than this are never spread. Kept at 0: at runtime AQE may
+# broadcast the *larger* side of a small-data join, which makes the small
+# table the probe side -- its partition count then sets the parallelism of
+# the whole join and everything after it (observed: a one-partition
+# customer scan running the full 600k-row listing in one task).
+SPREAD_MIN_BYTES = 0
 # A side is broadcast only when its row count is proven below this bound.
 BROADCAST_MAX_ROWS = 100_000
 
