@@ -155,7 +155,10 @@ def order_statistics(df: DataFrame, col: str, ranks, n: int) -> dict[int, float]
 
 def exact_quantiles(df: DataFrame, cols, probs, cap: int = DEFAULT_CAP,
                     counts: dict | None = None) -> dict[str, list[float | None]]:
-    """{column: [quantile per prob]}; NULLs ignored; all-NULL column -> None."""
+    """{column: [quantile per prob]}; NULLs ignored; all-NULL column -> None.
+    ``counts`` is accepted for callers that already know the non-NULL
+    counts; the first pass recomputes them together with the distinct-value
+    estimate that selects the resolution path."""
     cols = list(cols)
     probs = [float(p) for p in probs]
     if not cols:
