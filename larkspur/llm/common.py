@@ -36,7 +36,7 @@ def with_columns(df: DataFrame, added: T.StructType, compute: Callable[[pa.Recor
     kept = [f for f in df.schema.fields if f.name not in names and (keep is None or f.name in keep)]
     out = T.StructType(kept + list(added.fields))
     kept_names = [f.name for f in kept]
-    types = _arrow_types(added)
+    types = arrow_types(added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,7 +54,7 @@ def with_columns(df: DataFrame, added: T.StructType, compute: Callable[[pa.Recor
 BATCH_ROWS = 512
 
 
-def _arrow_types(schema: T.StructType) -> list[pa.DataType]:
+def arrow_types(schema: T.StructType) -> list[pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_type
     return [to_arrow_type(f.dataType) for f in schema.fields]
 

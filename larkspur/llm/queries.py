@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, minhash, quality
+from . import common, minhash, packing, quality, secret_scan
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +20,35 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.read(spark, sf_dir, "documents"))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    pieces = packing.tokenise(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(common.stage(digests, "packing-pieces"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_digests(secret_scan.scan(docs))
+
+
+def secret_digests(scanned: DataFrame) -> DataFrame:
+    base = len(secret_scan.BASE_RULES)
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(r.kind) for r in secret_scan.BASE_RULES]
+    base_spans = F.filter("spans", lambda s: s["kind_no"] < base)
+    return scanned.select(
+        "doc_id", *counts, common.sha_hex(secret_scan.joined_spans(base_spans)).alias("base_sha256"),
+        secret_scan.joined_spans(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
     "op4_quality_rules": op4_quality_rules,
+    "op7_secret_scan": op7_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
