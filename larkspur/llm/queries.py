@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, minhash, packing, quality, secret_scan
+from . import common, minhash, packing, quality, secret_scan, substring, url_filter
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +21,21 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digests(common.read(spark, sf_dir, "documents"))
+
+
+def packed_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
-    pieces = packing.tokenise(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.tokenise(docs, public_tokenizers.path("byte_bpe_50k.json"))
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(common.stage(digests, "packing-pieces"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.rule_table(spark)).drop("url")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_digests(secret_scan.scan(docs))
@@ -44,11 +53,49 @@ def secret_digests(scanned: DataFrame) -> DataFrame:
         secret_scan.joined_spans(F.col("spans")).alias("spans"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.remove_repeats(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id", F.size("passages").cast("long").alias("n_passages"),
+        F.aggregate("passages", F.lit(0).cast("long"), lambda n, p: n + p["words"]).alias("n_repeated_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("passages", lambda p: p["first_docs"])))).alias("first_docs"),
+        F.array_join(F.transform("passages", lambda p: F.concat_ws(":", p["begin"], p["stop"])), ",").alias("spans"),
+        "text")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
     "op4_quality_rules": op4_quality_rules,
+    "op6_url_filter": op6_url_filter,
     "op7_secret_scan": op7_secret_scan,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _url_sql() -> str:
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
+    return f"""
+WITH rules(verdict, rh, rp) AS (VALUES {rules}),
+split AS (
+  SELECT page_id, coalesce(contains(url, '://'), false) AS has,
+         CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+parts AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path
+  FROM split),
+pairs AS (SELECT DISTINCT host, path FROM parts),
+won AS (
+  SELECT host, path, arg_max(rh || rp, length(rh) + length(rp)) AS rule,
+         arg_max(verdict, length(rh) + length(rp)) AS verdict
+  FROM pairs JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+  GROUP BY host, path)
+SELECT page_id, p.host, p.path, w.rule, coalesce(w.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN won w ON p.host = w.host AND p.path = w.path"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_url_filter": _url_sql(),
+}
