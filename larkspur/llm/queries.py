@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, minhash, packing, quality, secret_scan, substring, url_filter
+from . import (ann, bpe, common, html_text, minhash, packing, quality, secret_scan, substring, token_counts,
+               url_filter)
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(common.read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +36,16 @@ def packed_digests(docs: DataFrame) -> DataFrame:
     return packing.pack(common.stage(digests, "packing-pieces"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"]), ranks)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                          common.sha_hex(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.read(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, url_filter.rule_table(spark)).drop("url")
@@ -53,6 +68,14 @@ def secret_digests(scanned: DataFrame) -> DataFrame:
         secret_scan.joined_spans(F.col("spans")).alias("spans"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    docs = common.read(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "n_bytes"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.remove_repeats(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select(
@@ -63,13 +86,22 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(common.read(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_quality_rules": op4_quality_rules,
+    "op5_bpe": op5_bpe,
     "op6_url_filter": op6_url_filter,
     "op7_secret_scan": op7_secret_scan,
+    "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_html_text": op10_html_text,
 }
 
 def _url_sql() -> str:
@@ -96,6 +128,23 @@ SELECT page_id, p.host, p.path, w.rule, coalesce(w.verdict, 'allow') AS verdict
 FROM parts p LEFT JOIN won w ON p.host = w.host AND p.path = w.path"""
 
 
+ANN_SQL = """
+WITH v AS (
+  SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY vec_id),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+  FROM scored)
+SELECT * FROM ranked WHERE rank <= 5"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_nearest_neighbours": ANN_SQL,
     "op6_url_filter": _url_sql(),
 }
