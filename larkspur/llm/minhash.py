@@ -13,9 +13,9 @@
    similarity; pairs far below the threshold go. Exact Jaccard on full sets
    confirms the rest.
 4. Lists whose members now lie in two or more components are compared in
-   blocks of at most BLOCK members, on full sets inside the tasks, with the
-   same filter; a block returns only the links that join components, so a
-   group of m near copies never becomes m * m rows.
+   blocks of at most BLOCK members: sketch overlaps select the pairs, full
+   sets decide inside the task. A block returns only links that join
+   components, so a group of m near copies never becomes m * m rows.
 
 Links are exact (full sets of 64-bit shingle hashes). A true link is missed
 only if its two sketches share fewer values than ``_required``, with
@@ -49,6 +49,7 @@ PERCENT = 85        # link when 100 * intersection >= PERCENT * union
 K = 64              # values that a sketch retains
 MISS = 1e-9         # chance to miss one link at the threshold
 BLOCK = 1024        # members of a list that one task compares at once
+VALUES_AT_ONCE = 4096
 
 _cache: list[WordHashes] = []
 
@@ -107,8 +108,8 @@ def _cutoff(k: int, percent: int) -> float:
 
 
 def list_members(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(value, cls, shared): the inverted lists with two members or more, each
-    class under the rarest values it needs as keys."""
+    """(value, cls, shared, keys): the inverted lists with two members or more,
+    each class under the rarest values it needs as keys."""
     postings = classes.select("cls", F.explode("sketch").alias("value"))
     counts = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     shared = (postings.join(counts, "value").groupBy("cls")
@@ -117,9 +118,9 @@ def list_members(classes: DataFrame, k: int, percent: int) -> DataFrame:
     alone = F.size("sketch") - F.size("keys")
     # values that no other class retains are the rarest keys; they fill the prefix first
     keys = classes.join(shared, "cls").withColumn("take", needed - alone).where("take > 0")
-    lists = keys.select("cls", F.size("keys").alias("shared"),
-                        F.explode(F.slice("keys", F.lit(1), F.col("take"))).alias("key"))
-    return lists.select(F.col("key.value").alias("value"), "cls", "shared")
+    taken = F.transform(F.slice("keys", F.lit(1), F.greatest("take", F.lit(0))), lambda key: key["value"])
+    lists = keys.select("cls", F.size("keys").alias("shared"), taken.alias("keys"))
+    return lists.select(F.explode("keys").alias("value"), "cls", "shared", "keys")
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -174,44 +175,51 @@ class _Forest(dict):
         return x != y
 
 
-def _block_links(pdf: pd.DataFrame, k: int, percent: int) -> list[tuple[int, int]]:
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    twice = counts > 1
+    place = np.cumsum(twice) - 1
+    row, at = row[twice[codes]], place[codes[twice[codes]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    edges = np.searchsorted(at, np.arange(0, int(twice.sum()) + VALUES_AT_ONCE, VALUES_AT_ONCE))
+    for start, stop in zip(edges, edges[1:], strict=False):
+        held = np.zeros((len(sets), VALUES_AT_ONCE), np.float32)
+        held[row[start:stop], at[start:stop] % VALUES_AT_ONCE] = 1
+        out += held @ held.T
+    return out
+
+
+def _block_links(value: int, pdf: pd.DataFrame, k: int, percent: int) -> list[tuple[int, int]]:
     """Links between different components within one pair of blocks of one
-    list; of several that join the same components, one."""
+    list; of several that join the same components, one. A pair is compared
+    in the first list that both are in."""
     pdf = pdf.drop_duplicates("cls").sort_values("cls", ignore_index=True)
-    sets = [np.frombuffer(x, np.int64) for x in pdf["shingles"]]
-    ids, comps = pdf["cls"].to_numpy(), pdf["component"].to_numpy()
+    comps = pdf["component"].to_numpy()
     if len(np.unique(comps)) < 2:
         return []
-    sketches = [s[:k] for s in sets]
-    values, codes, counts = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sketches])
-    common_values = np.flatnonzero(counts > 1)
-    place = np.full(len(values), -1)
-    place[common_values] = np.arange(len(common_values))
-    inside = place[codes] >= 0
-    overlap = np.zeros((len(sets), len(sets)), np.float32)
-    width = 4096
-    for start in range(0, len(common_values), width):
-        part = inside & (place[codes] >= start) & (place[codes] < start + width)
-        held = np.zeros((len(sets), min(width, len(common_values) - start)), np.float32)
-        held[row[part], place[codes[part]] - start] = 1
-        overlap += held @ held.T
+    sets = [np.frombuffer(x, np.int64) for x in pdf["shingles"]]
     size = np.array([len(s) for s in sets], np.int64)
     least = np.minimum(_least_shared(k, percent), np.ceil(percent * size / 100.0))
-    possible = overlap >= np.maximum(least[:, None], least[None, :])
+    possible = _shared([s[:k] for s in sets]) >= np.maximum(least[:, None], least[None, :])
     possible &= 100 * size[:, None] >= percent * size[None, :]
     possible &= 100 * size[None, :] >= percent * size[:, None]
     possible &= comps[:, None] != comps[None, :]
-    i, j = np.nonzero(np.triu(possible, 1))
-    order = np.argsort(-overlap[i, j], kind="stable")
-    forest, links, cutoff = _Forest(), [], _cutoff(k, percent)
-    for x, y in zip(i[order], j[order], strict=True):
-        if forest.find(comps[x]) == forest.find(comps[y]):
-            continue
-        union = np.union1d(sketches[x], sketches[y])[:k]
-        both = np.isin(union, sketches[x], assume_unique=True) & np.isin(union, sketches[y], assume_unique=True)
-        if both.sum() >= cutoff * len(union) and _linked(sets[x], sets[y], percent):
-            forest.join(comps[x], comps[y])
+    earlier = [keys[keys < value] for keys in pdf["keys"]]
+    if any(len(e) for e in earlier):
+        possible &= _shared(earlier) == 0
+    rows = np.flatnonzero(possible.any(axis=1))
+    if not len(rows):
+        return []
+    both = _shared([sets[r] for r in rows])
+    linked = possible[np.ix_(rows, rows)] & (100 * both >= percent * (size[rows, None] + size[None, rows] - both))
+    ids, comps = pdf["cls"].to_numpy()[rows], comps[rows]
+    forest, links = _Forest(), []
+    for x, y in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        if forest.join(int(comps[x]), int(comps[y])):
             links.append((int(ids[x]), int(ids[y])))
     return links
 
@@ -240,7 +248,7 @@ def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
     # lists with the same members, one
     comps = components(first)
     labelled = (lists.join(comps.withColumnRenamed("node", "cls"), "cls", "left")
-                .select("value", "cls", F.coalesce("component", "cls").alias("component")))
+                .select("value", "cls", "keys", F.coalesce("component", "cls").alias("component")))
     labelled = common.stage(labelled, "minhash-labelled")
     open_lists = (labelled.groupBy("value")
                   .agg(F.min("component").alias("low"), F.max("component").alias("high"),
@@ -255,10 +263,10 @@ def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
     tiles = (todo.withColumn("mine", mine)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("value", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
-                     "cls", "component"))
+                     "cls", "component", "keys"))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_block_links(pdf, k, percent), columns=["a", "b"], dtype="int64")
+    def compare(tile: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_block_links(tile[0], pdf, k, percent), columns=["a", "b"], dtype="int64")
 
     rest = tiles.join(sets, "cls").groupBy("value", "low", "high").applyInPandas(compare, "a long, b long")
     return common.stage(first.union(rest.distinct()), "minhash-all-links")

@@ -114,13 +114,13 @@ def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def repeated_chunks(table: DataFrame) -> DataFrame:
-    """doc, mark and, for its chunks that a smaller doc_id holds too, the list
+    """doc, mark and (_chunks), for its chunks that a smaller doc_id holds too, the list
     of (no, words, begin, stop, first)."""
     firsts = (table.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
               .where("first < last").drop("last"))
     hits = table.join(firsts, "digest").where("doc > first")
     return hits.groupBy("doc", "mark").agg(F.sort_array(F.collect_set(
-        F.struct("no", "words", "begin", "stop", "first"))).alias("chunks"))
+        F.struct("no", "words", "begin", "stop", "first"))).alias("_chunks"))
 
 
 def passages(found: list[dict], least: int) -> list[tuple[int, int, int, list[int]]]:
@@ -165,7 +165,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run
     def compute(batch):
         texts, spans = [], []
         raw = common.column(batch, text).cast(pa.binary()).to_pylist()
-        for t, found in zip(raw, common.column(batch, "chunks").to_pylist(), strict=True):
+        for t, found in zip(raw, common.column(batch, "_chunks").to_pylist(), strict=True):
             runs = passages(found, run_words) if found else []
             texts.append(cut(t, runs).decode() if runs else None if t is None else t.decode())
             spans.append([dict(zip(("begin", "stop", "words", "first_docs"), r, strict=True)) for r in runs])

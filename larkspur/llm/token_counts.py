@@ -218,8 +218,8 @@ class WordTable:
         if at == len(ends) - 1:
             return len(text)
         word = text[ends[at]:ends[at + 1]]
-        chunk = word.lstrip()
-        skipped = len(word) - len(chunk)
+        found = _CHUNK.search(word)
+        chunk, skipped = found[0], found.start()
         if chunk in self.special:
             return ends[at] + skipped
         inner = self.normalised(chunk)
