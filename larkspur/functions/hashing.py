@@ -2,9 +2,9 @@
 
 ``randomSplit`` depends on partition layout and ordering; a keyed hash does
 not, so the same row lands in the same split on any cluster size and the
-assignment is reproducible in plain SQL. Integer keys use two steps of the
-Park-Miller (MINSTD) multiplicative generator, which stays inside 64-bit
-arithmetic in every SQL engine; string keys use ``xxhash64``.
+assignment is reproducible in plain SQL. The hash is the first 60 bits of
+``md5(seed || ':' || key)``: seeds are independent of each other, keys may be
+numbers or text, and every SQL engine has it.
 """
 
 from __future__ import annotations
@@ -12,32 +12,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# MINSTD modulus and multiplier (Park & Miller, 1988).
-MINSTD_M = 2147483647
-MINSTD_A = 48271
+HEX_DIGITS = 15
+HASH_RANGE = 16 ** HEX_DIGITS   # hashes lie in [0, HASH_RANGE)
 
 
-def mix_key(key, seed: int = 42) -> Column:
-    """Integer key -> pseudo-random integer in [0, 2^31 - 1)."""
+def mix_key(key, seed: int | Column = 42) -> Column:
+    """Key -> pseudo-random integer in [0, 2^60)."""
     k = F.col(key) if isinstance(key, str) else key
-    h = F.pmod(k + F.lit(seed), F.lit(MINSTD_M))
-    h = F.pmod(h * F.lit(MINSTD_A), F.lit(MINSTD_M))
-    h = F.pmod(h * F.lit(MINSTD_A), F.lit(MINSTD_M))
-    return h
+    s = seed if isinstance(seed, Column) else F.lit(str(seed))
+    digest = F.md5(F.concat_ws(":", s.cast("string"), k.cast("string")))
+    return F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("long")
 
 
-def mix_key_sql(key: str, seed: int = 42) -> str:
-    """The same hash as SQL text (keys are non-negative)."""
-    h = f"(({key}) + {seed}) % {MINSTD_M}"
-    h = f"(({h}) * {MINSTD_A}) % {MINSTD_M}"
-    h = f"(({h}) * {MINSTD_A}) % {MINSTD_M}"
-    return f"({h})"
+def mix_key_sql(key: str, seed: int | str = 42) -> str:
+    """The same hash as SQL text; a text seed is an SQL expression."""
+    return f"(('0x' || substr(md5(({seed}) || ':' || ({key})), 1, {HEX_DIGITS}))::BIGINT)"
 
 
-def bucket(key, modulus: int, seed: int = 42, string_key: bool = False) -> Column:
+def bucket(key, modulus: int, seed: int = 42) -> Column:
     """Bucket in [0, modulus)."""
-    if string_key:
-        return F.pmod(F.xxhash64(F.lit(seed), F.col(key) if isinstance(key, str) else key), F.lit(modulus))
     return F.pmod(mix_key(key, seed), F.lit(modulus))
 
 

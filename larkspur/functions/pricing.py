@@ -90,8 +90,10 @@ def with_clip_round_price(df, raw: Column, output: str):
     by the rounding, and a collapsed projection would otherwise repeat the
     whole formula tree per reference (large enough to fall out of
     whole-stage code generation)."""
-    floored = F.floor(F.least(F.greatest(raw, F.lit(float(PRICE_MIN))), F.lit(float(PRICE_MAX))))
+    # greatest() skips NULL: a row with a missing input has no price
+    clipped = F.least(F.greatest(F.col("_price_raw"), F.lit(float(PRICE_MIN))), F.lit(float(PRICE_MAX)))
+    floored = F.when(F.col("_price_raw").isNotNull(), F.floor(clipped))
     shifted = F.col("_price_floor") + F.lit(PRICE_STEP // 2)
-    return (df.withColumn("_price_floor", floored)
+    return (df.withColumn("_price_raw", raw).withColumn("_price_floor", floored)
               .withColumn(output, (shifted - F.pmod(shifted, F.lit(PRICE_STEP))).cast("long"))
-              .drop("_price_floor"))
+              .drop("_price_raw", "_price_floor"))

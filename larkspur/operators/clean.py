@@ -192,16 +192,16 @@ def outlier_report(before: DataFrame, after: DataFrame) -> DataFrame:
 # Form input ranges and defaults (min, max, default).
 INPUT_RANGES = {
     "LotArea": (500, 500000, 8500),
-    "YearBuilt": (1800, 2024, 2000),
-    "YearRemodAdd": (1800, 2024, 2000),
-    "TotalBsmtSF": (0, 10000, 1000),
-    "GrLivArea": (300, 10000, 1500),
+    "YearBuilt": (1800, 2025, 2000),
+    "YearRemodAdd": (1800, 2025, 2000),
+    "TotalBsmtSF": (0, 10000, 800),
+    "GrLivArea": (200, 10000, 1500),
     "FullBath": (0, 5, 2),
-    "HalfBath": (0, 3, 1),
+    "HalfBath": (0, 3, 0),
     "BedroomAbvGr": (0, 10, 3),
-    "TotRmsAbvGrd": (1, 20, 7),
-    "GarageArea": (0, 2000, 400),
-    "PoolArea": (0, 1000, 0),
+    "TotRmsAbvGrd": (1, 15, 6),
+    "GarageArea": (0, 5000, 400),
+    "PoolArea": (0, 2000, 0),
     "OverallQual": (1, 10, 5),
     "OverallCond": (1, 10, 5),
 }

@@ -5,13 +5,13 @@ processing (P23-P25) and batch mean (A28)."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import FLOAT64_EPS, currency
 from ..functions.normal import with_norm_ppf
-from .quantiles import exact_quantiles
+from ..sources.tables import cut_lineage
+from .quantiles import ranked_values
 
 # The quality gate.
 R2_GATE = 0.85
@@ -78,6 +78,17 @@ def range_bins(df: DataFrame, col: str, bins: int = 5) -> tuple[DataFrame, float
     return df.withColumn("range_bin", b), lo, hi
 
 
+# The names of five value ranges, from low to high.
+RANGE_LABELS = ("Very Low", "Low", "Medium", "High", "Very High")
+
+
+def range_label(col: str, bins: int = 5):
+    """The name of a range where there are five, else its number."""
+    if bins != len(RANGE_LABELS):
+        return F.col(col).cast("string")
+    return F.element_at(F.array(*map(F.lit, RANGE_LABELS)), F.col(col))
+
+
 def error_by_range(df: DataFrame, label: str = "actual", pred: str = "predicted", bins: int = 5) -> DataFrame:
     """Per actual-value range: mean abs error, mean pct error, count;
     empty ranges are emitted with count 0 (left join from the bin list)."""
@@ -90,38 +101,35 @@ def error_by_range(df: DataFrame, label: str = "actual", pred: str = "predicted"
     spark = df.sparkSession
     labels = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("range_bin"))
     return (labels.join(agg, "range_bin", "left")
-                  .select("range_bin", "mean_abs_error", "mean_pct_error",
-                          F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+                  .select("range_bin", range_label("range_bin", bins).alias("range_label"), "mean_abs_error",
+                          "mean_pct_error", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
                   .orderBy("range_bin"))
 
 
-def qq_points(df: DataFrame, label: str = "actual", pred: str = "predicted", points: int = 1000) -> DataFrame:
-    """Ordered residuals against normal quantiles at Filliben positions,
-    on a grid of at most ``points`` order statistics (exact ranks), plus the
-    least-squares line through the points. No global sort or row_number."""
-    spark = df.sparkSession
-    r = (F.col(label).cast("double") - F.col(pred).cast("double")).alias("r")
-    rdf = df.select(r).where(F.col("r").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-    n = rdf.count()
-    if n == 0:
-        return spark.createDataFrame([], "k int, rank long, theoretical double, ordered double, slope double, intercept double")
-    m = min(n, points)
-    ranks = sorted({(k * (n - 1)) // (m - 1) if m > 1 else 0 for k in range(m)})
-    # ranks -> probabilities hitting exactly those order statistics
-    probs = [rk / (n - 1) if n > 1 else 0.0 for rk in ranks]
-    vals = exact_quantiles(rdf, ["r"], probs, counts={"r": n})["r"]
-    rdf.unpersist()
-    rows = [(i, rk, v) for i, (rk, v) in enumerate(zip(ranks, vals))]
-    pts = spark.createDataFrame(rows, "k int, rank long, ordered double")   # <= points rows
-    i1 = F.col("rank") + 1
-    filliben = (F.when(i1 == 1, F.lit(1.0) - F.pow(F.lit(0.5), F.lit(1.0 / n)))
-                 .when(i1 == n, F.pow(F.lit(0.5), F.lit(1.0 / n)))
+# Ranks of one value that one row stands for before they are dealt out: a
+# residual that a third of the rows share is spread over tasks.
+RANKS_AT_ONCE = 100_000
+
+
+def qq_points(df: DataFrame, label: str = "actual", pred: str = "predicted") -> DataFrame:
+    """Every ordered residual against its normal quantile at Filliben's
+    position, plus the least-squares line through the points. Ranks come from
+    the distributed value ranks: no global sort."""
+    r = (F.col(label).cast("double") - F.col(pred).cast("double")).alias("v")
+    ranked = ranked_values(df.select(r).where(F.col("v").isNotNull()), [])
+    runs = ranked.select("v", "hi", "total", F.explode(F.expr(f"sequence(lo, hi - 1, {RANKS_AT_ONCE}L)")).alias("start"))
+    pts = runs.repartition("v", "start").select(
+        F.col("v").alias("ordered"), "total",
+        F.explode(F.expr(f"sequence(start, least(start + {RANKS_AT_ONCE - 1}L, hi - 1))")).alias("rank"))
+    i1, n = F.col("rank") + 1, F.col("total")
+    filliben = (F.when(i1 == 1, F.lit(1.0) - F.pow(F.lit(0.5), F.lit(1.0) / n))
+                 .when(i1 == n, F.pow(F.lit(0.5), F.lit(1.0) / n))
                  .otherwise((i1 - 0.3175) / (n + 0.365)))
-    pts = with_norm_ppf(pts.withColumn("_p", filliben), "_p", "theoretical").drop("_p")
-    pts = pts.persist(StorageLevel.MEMORY_AND_DISK)    # <= points rows, read twice below
+    pts = with_norm_ppf(pts.withColumn("_p", filliben), "_p", "theoretical").select("rank", "theoretical", "ordered")
+    pts = cut_lineage(pts)    # read twice
     line = pts.agg(F.regr_slope("ordered", "theoretical").alias("slope"),
                    F.regr_intercept("ordered", "theoretical").alias("intercept"))
-    return pts.crossJoin(line).select("k", "rank", "theoretical", "ordered", "slope", "intercept")
+    return pts.crossJoin(line)    # one row beside every point
 
 
 def clip_round_prediction(df: DataFrame, pred: str = "predicted", mode: str = "single") -> DataFrame:
@@ -132,7 +140,8 @@ def clip_round_prediction(df: DataFrame, pred: str = "predicted", mode: str = "s
         out = F.bround(F.greatest(p, F.lit(0.0)), 2)
     else:
         out = F.greatest(F.bround(p, 2), F.lit(0.0))
-    return df.withColumn(pred, out)
+    # greatest() skips NULL: a missing prediction stays missing
+    return df.withColumn(pred, F.when(p.isNotNull(), out))
 
 
 def price_band(df: DataFrame, pred: str = "predicted") -> DataFrame:

@@ -9,7 +9,6 @@ fit; evaluation metrics come from one grouped aggregation.
 
 from __future__ import annotations
 
-import os
 import time
 from dataclasses import dataclass
 
@@ -18,12 +17,14 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import path_exists
 from ..sources.tables import cut_lineage
 from .evaluate import regression_metrics
+from .split import assign_folds
 
 SEED = 42
 # Execution-only tree settings (same model, fewer passes over the data):
@@ -167,7 +168,6 @@ def cross_validate(df: DataFrame, features, label: str = "label", names=MODEL_OR
     fold's own row count and label spread."""
     from concurrent.futures import ThreadPoolExecutor
 
-    from .split import assign_folds
     data = assign_folds(df, key, k, col=fold_col).persist()
 
     def fit_fold(task):
@@ -195,21 +195,28 @@ def cross_validate(df: DataFrame, features, label: str = "label", names=MODEL_OR
     return out
 
 
-# The reference's tuning grids (names mapped to MLlib params).
+# The reference's tuning grids, names mapped to MLlib params. Leaf
+# penalties and the split minimum have no MLlib counterpart; no depth limit is 30.
 GRIDS = {
-    "xgboost": {"maxIter": [100, 200, 300], "stepSize": [0.01, 0.05, 0.1], "maxDepth": [3, 5, 7],
-                "subsamplingRate": [0.8, 0.9, 1.0], "featureSubsetStrategy": ["0.8", "0.9", "1.0"]},
-    "random_forest": {"numTrees": [100, 200, 300], "maxDepth": [10, 20], "minInstancesPerNode": [1, 2, 4]},
+    "xgboost": {"maxIter": [100, 200, 300], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [3, 5, 7],
+                "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "1.0"],
+                "minInstancesPerNode": [1, 3]},
+    "random_forest": {"numTrees": [100, 200], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2]},
     "gradient_boosting": {"maxIter": [100, 200], "stepSize": [0.05, 0.1], "maxDepth": [3, 5]},
     "ridge": {"regParam": [0.1, 1.0, 10.0, 100.0]},
     "lasso": {"regParam": [0.001, 0.01, 0.1, 1.0]},
 }
 
 
+# The folds of tuning are independent of those of cross-validation.
+TUNING_SEED, TUNING_FOLD = 1042, "tuning_fold"
+
+
 def grid_search(train: DataFrame, features, label: str = "label", name: str = "ridge", grid: dict | None = None,
-                folds: int = 3, cheap: bool = False, parallelism: int = 4, max_points: int | None = None):
-    """Grid search by R2 with refit on all training rows. Ridge alphas
-    are mapped to MLlib's lambda. Unknown model names are returned untuned."""
+                folds: int = 3, cheap: bool = False, parallelism: int = 4, key: str = "id"):
+    """Grid search by R2 with refit on all training rows, on hash folds of
+    the key (``cheap``: one of them validates). Ridge alphas are mapped to
+    MLlib's lambda. Unknown model names are returned untuned."""
     grid = grid if grid is not None else GRIDS.get(name)
     n, s = label_stats(train, label)
     pipe = make_pipeline(name, features, label, n_rows=n, label_std=s)
@@ -222,18 +229,18 @@ def grid_search(train: DataFrame, features, label: str = "label", name: str = "r
             vals = [a * s / max(n, 1) for a in vals]
         b = b.addGrid(est.getParam(k), vals)
     maps = b.build()
-    if max_points:
-        maps = maps[:max_points]
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="r2")
+    names = [{p.name: v for p, v in m.items()} for m in maps]
     if cheap:
-        tuner = TrainValidationSplit(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, trainRatio=0.8,
-                                     parallelism=parallelism, seed=SEED)
-    else:
-        tuner = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, numFolds=folds,
-                               parallelism=parallelism, seed=SEED)
-    model = tuner.fit(train)
-    metrics = model.validationMetrics if cheap else model.avgMetrics
-    return model.bestModel, list(zip([{p.name: v for p, v in m.items()} for m in maps], metrics))
+        held = assign_folds(train, key, 5, TUNING_SEED, TUNING_FOLD)
+        fit, check = held.where(F.col(TUNING_FOLD) != 0), held.where(F.col(TUNING_FOLD) == 0)
+        metrics = [ev.evaluate(pipe.fit(fit, m).transform(check)) for m in maps]
+        best = max(range(len(maps)), key=lambda i: (metrics[i], -i))
+        return pipe.fit(train, maps[best]), list(zip(names, metrics))
+    tuner = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, numFolds=folds,
+                           foldCol=TUNING_FOLD, parallelism=parallelism)
+    model = tuner.fit(assign_folds(train, key, folds, TUNING_SEED, TUNING_FOLD))
+    return model.bestModel, list(zip(names, model.avgMetrics))
 
 
 def feature_importance(model, feature_names, top_n: int = 20, spark=None) -> DataFrame:
@@ -267,36 +274,36 @@ def linear_coefficients(model) -> tuple[list[float], float]:
     return stage.coefficients.toArray().tolist(), float(stage.intercept)
 
 
-# rows per permutation bucket: each bucket is ranked by one window task
-ROWS_PER_PERMUTATION_BUCKET = 2_000_000
+def _with_rank(df: DataFrame, order, name: str) -> DataFrame:
+    """``name``: the 0-based place of every row in the given order, from a range
+    partitioning and the row counts of the ranges before."""
+    from pyspark.sql import Window
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = ranged.groupBy("_part").count().select(       # one row per range
+        "_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return (ranged.withColumn("_row", inside).join(before, "_part")
+            .withColumn(name, F.col("_before") + F.col("_row") - 1).drop("_part", "_row", "_before"))
 
 
 def permutation_importance(model, df: DataFrame, features, label: str = "label", key: str = "id",
-                           seed: int = SEED, buckets: int | None = None) -> DataFrame:
+                           seed: int = SEED) -> DataFrame:
     """Model-free importance: drop in R2 when one feature's values are
-    permuted across rows. The permutation is a join of two hash orders
-    within hash buckets (windows per bucket), so no global sort and no
-    single-partition step."""
-    from pyspark.sql import Window
-
+    permuted across rows. The permutation joins two hash orders of the whole
+    table; it depends on the keys alone."""
     from ..functions.hashing import mix_key
     base_r2 = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="r2").evaluate(
         model.transform(df))
-    if buckets is None:
-        # bucket count grows with the data, so each window task stays bounded
-        buckets = max(64, -(-df.count() // ROWS_PER_PERMUTATION_BUCKET))
-    b = F.pmod(mix_key(key, seed), F.lit(buckets))
-    with_pos = df.withColumn("_b", b).withColumn(
-        "_r1", F.row_number().over(Window.partitionBy("_b").orderBy(mix_key(key, seed + 1), key))).withColumn(
-        "_r2", F.row_number().over(Window.partitionBy("_b").orderBy(mix_key(key, seed + 2), key))).persist()
+    first = _with_rank(df, [mix_key(key, seed + 1), F.col(key)], "_place")
+    donors = _with_rank(df.select(key, *features), [mix_key(key, seed + 2), F.col(key)], "_place").drop(key)
+    donors = donors.select("_place", *[F.col(f).alias(f"_{f}") for f in features])
+    both = cut_lineage(first.join(donors, "_place"))
     rows = []
     for f in features:
-        donor = with_pos.select("_b", F.col("_r2").alias("_r1"), F.col(f).alias("_perm"))
-        perm = with_pos.join(donor, ["_b", "_r1"]).drop(f).withColumnRenamed("_perm", f)
+        perm = both.drop(f).withColumnRenamed(f"_{f}", f)
         r2 = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="r2").evaluate(
             model.transform(perm))
         rows.append((f, float(base_r2 - r2)))
-    with_pos.unpersist()
     spark = df.sparkSession
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
@@ -310,8 +317,8 @@ def save_model(model: PipelineModel, path: str) -> str:
 
 
 def load_model(path: str) -> PipelineModel:
-    """Raise when the artifact is absent."""
-    if path.startswith("/") and not os.path.exists(path):
+    """Raise when the artifact is absent from the path's file system."""
+    if not path_exists(SparkSession.getActiveSession(), path):
         raise FileNotFoundError(path)
     return PipelineModel.load(path)
 
@@ -320,7 +327,10 @@ def predict_batch(model, df: DataFrame, output: str = "PredictedPrice", sink: st
     """Input columns kept, prediction rounded half-even then clamped at 0."""
     scored = model.transform(df)
     out = df.columns + [output]
-    res = scored.withColumn(output, F.greatest(F.bround(F.col("prediction"), 2), F.lit(0.0))).select(*out)
-    if sink:
-        res.write.mode("overwrite").option("header", True).csv(sink)
-    return res
+    price = F.greatest(F.bround(F.col("prediction"), 2), F.lit(0.0))
+    res = scored.withColumn(output, F.when(F.col("prediction").isNotNull(), price)).select(*out)
+    if not sink:
+        return res
+    # scored once: the result is what the sink holds
+    res.write.mode("overwrite").option("header", True).csv(sink)
+    return df.sparkSession.read.schema(res.schema).option("header", True).csv(sink)

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions.moments import sample_kurtosis, sample_skewness
 from ..roles import HOUSING_TARGET, numeric_columns, string_columns
-from ..sources.tables import broadcast_if_small, persisted
-from .quantiles import quantiles
+from ..sources.tables import persisted
+from .quantiles import at_probability, group_quantiles, quantiles, ranked_values
 
 
 def _stack(df: DataFrame, row_aliases: dict[str, list[str]], name_col: str = "column") -> DataFrame:
@@ -183,35 +183,29 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
 
 def boxplot_stats(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """Quartiles, whiskers at 1.5 IQR (most extreme data inside the
-    fences) and outlier count, per group. Exact ``percentile`` per group:
-    its buffer holds the group's distinct values (bounded for the integer
-    price/area domains this is used on)."""
-    x = F.col(value).cast("double")
+    fences) and outlier count, per group, all from the ranked distinct values:
+    one pass over the table, and no group is held by one task."""
     keys = [by] if by else []
-    q = (df.groupBy(*keys).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-                               F.count(x).alias("n"))
-           .select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                   F.col("q")[2].alias("q3")))
+    ranked = ranked_values(df.select(*keys, F.col(value).cast("double").alias("v")), keys)
+    q = ranked.groupBy(*keys).agg(F.max("total").alias("n"), *[
+        at_probability(p).alias(c) for p, c in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     q = q.withColumn("fence_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("fence_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    # one fence row per group: broadcast behind the size check (a hot group
-    # then needs no shuffle at all); one row when there are no groups
-    fences = q.select(*keys, "fence_lo", "fence_hi")
-    j = df.select(*keys, x.alias("_x")).join(broadcast_if_small(fences), keys, "inner") \
-        if keys else df.select(x.alias("_x")).crossJoin(F.broadcast(fences))
-    inside = (F.col("_x") >= F.col("fence_lo")) & (F.col("_x") <= F.col("fence_hi"))
-    w = j.groupBy(*keys).agg(
-        F.min(F.when(inside, F.col("_x"))).alias("whisker_lo"),
-        F.max(F.when(inside, F.col("_x"))).alias("whisker_hi"),
-        F.sum(F.when(~inside, 1).otherwise(0)).cast("long").alias("n_outliers"))
-    out = q.join(w, keys, "inner") if keys else q.crossJoin(w)
-    return out.select(*keys, "n", "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_outliers")
+    q = q.withColumnRenamed(by, f"_{by}") if by else q
+    j = ranked.join(q, ranked[by].eqNullSafe(q[f"_{by}"]), "inner") if by else ranked.crossJoin(F.broadcast(q))
+    inside = (F.col("v") >= F.col("fence_lo")) & (F.col("v") <= F.col("fence_hi"))
+    stats = ["q1", "median", "q3"]
+    return j.groupBy(*keys).agg(
+        F.first(q["n"]).alias("n"), *[F.first(c).alias(c) for c in stats],
+        F.min(F.when(inside, F.col("v"))).alias("whisker_lo"),
+        F.max(F.when(inside, F.col("v"))).alias("whisker_hi"),
+        F.sum(F.when(~inside, ranked["n"]).otherwise(0)).cast("long").alias("n_outliers"))
 
 
 def group_median_order(df: DataFrame, key: str, target: str = HOUSING_TARGET) -> DataFrame:
     """Group median of the target, sorted descending."""
-    return (df.groupBy(key).agg(F.median(F.col(target).cast("double")).alias("median_target"))
-              .orderBy(F.desc("median_target"), key))
+    return (group_quantiles(df, [key], target, [0.5], ["median_target"]).select(key, "median_target")
+            .orderBy(F.desc("median_target"), key))
 
 
 def value_counts_top(df: DataFrame, col: str, n: int = 8) -> DataFrame:

@@ -1,279 +1,82 @@
-"""Exact, linearly interpolated quantiles without an unbounded buffer.
-
-Spark's exact ``percentile`` keeps a value->count map of the whole column in
-one aggregation buffer, which is fine for bounded domains but not for a
-continuous column at 100 TB. This helper computes the same numbers (the
-pandas / DuckDB ``quantile_cont`` definition: rank h = (n - 1) p, value
-x[floor h] + (x[floor h + 1] - x[floor h]) * frac h) with bounded state:
-
-1. one pass: non-NULL count per column;
-2. each wanted order statistic starts with a window = the whole column;
-3. while a window holds more than ``cap`` rows: ``percentile_approx`` over
-   the window proposes a narrower bracket around the wanted rank, one
-   counting pass checks it really contains that rank (else the bracket
-   falls back to the window edge), and the window shrinks;
-4. a window with at most ``cap`` rows is resolved exactly: its distinct
-   values with counts (at most ``cap`` rows, a proven bound) are read and
-   the rank is found by cumulative count.
-
-All targets of all columns share each pass (conditional aggregates), so the
-number of Spark jobs is a small constant, independent of the column count.
+"""Exact, linearly interpolated quantiles (the pandas / DuckDB
+``quantile_cont`` definition: rank h = (n - 1) p, value
+x[floor h] + (x[floor h + 1] - x[floor h]) * frac h), overall or per group.
+
+One distributed path serves every size. The distinct values are counted,
+dealt out by range, and each range learns how many rows of its group lie in
+the ranges before it; a running sum inside the range then gives every value
+its ranks. A wanted rank is found by comparison, so nothing but one row per
+column and probability ever reaches the driver, and no task holds a whole
+column or a whole group.
 """
 
 from __future__ import annotations
 
-import bisect
-import math
-from dataclasses import dataclass
-
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_CAP = 200_000
-# Spark's default sketch accuracy: each refinement round shrinks a window
-# about 2,500-fold, so even 10^12 rows resolve in three rounds.
-APPROX_ACCURACY = 10_000
-# a column whose (estimated) number of distinct values is at most
-# cap * SMALL_DOMAIN_SHARE is resolved directly from its value counts
-SMALL_DOMAIN_SHARE = 0.25
-MAX_ROUNDS = 8
-# above this many order statistics of one column the bucketed path is used
-MANY_TARGETS = 16
-MAX_SPLITTERS = 10_000
-
+from ..sources.tables import cut_lineage
 
-@dataclass
-class _Target:
-    col: str
-    rank: int            # 0-based rank among non-NULL values
-    lo: float = -math.inf
-    hi: float = math.inf
-    below: int = 0       # rows strictly below the window
-    size: int = 0        # rows inside the window [lo, hi]
-    value: float | None = None
+APPROX_ACCURACY = 10_000
 
 
-def _in_window(c, t: _Target):
+def _same(left: DataFrame, right: DataFrame, names) -> Column:
+    """Null-safe equality of the named columns."""
     cond = F.lit(True)
-    if t.lo != -math.inf:
-        cond = cond & (F.col(c) >= F.lit(t.lo))
-    if t.hi != math.inf:
-        cond = cond & (F.col(c) <= F.lit(t.hi))
-    return cond & F.col(c).isNotNull()
-
-
-def _resolve_small(df: DataFrame, targets: list[_Target], bound: int | None = None) -> bool:
-    """Exact rank lookup inside bounded windows.
-
-    One job for all columns: every row contributes (column, value) for each
-    column whose windows contain the value; a grouped count gives distinct
-    (column, value, count) rows, which are read and searched by cumulative
-    count. The read is bounded: windows of at most ``cap`` rows each, or --
-    for small-domain columns -- an explicit ``bound`` enforced with a limit
-    (returns False, leaving the targets unresolved, when it is exceeded)."""
-    if not targets:
-        return True
-    by_col: dict[str, list[_Target]] = {}
-    for t in targets:
-        by_col.setdefault(t.col, []).append(t)
-    entries = []
-    for i, (c, ts) in enumerate(by_col.items()):
-        cond = None
-        for lo, hi in sorted({(t.lo, t.hi) for t in ts}):
-            w = _in_window(c, _Target(c, 0, lo, hi))
-            cond = w if cond is None else (cond | w)
-        entries.append(F.when(cond, F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v"))))
-    pairs = df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("p"))
-    grouped = pairs.groupBy("p.k", "p.v").agg(F.count(F.lit(1)).alias("n"))
-    if bound is not None:
-        rows = grouped.limit(bound + 1).collect()
-        if len(rows) > bound:
-            return False
-    else:
-        rows = grouped.collect()
-    per: dict[int, list[tuple[float, int]]] = {}
-    for r in rows:
-        per.setdefault(int(r["k"]), []).append((float(r["v"]), int(r["n"])))
-    for i, (c, ts) in enumerate(by_col.items()):
-        vals = sorted(per.get(i, []))
-        keys = [v for v, _ in vals]
-        cum, acc = [], 0
-        for _, n in vals:
-            acc += n
-            cum.append(acc)
-        for t in ts:
-            # rows of the window = values in [lo, hi]; rank r inside it
-            a = bisect.bisect_left(keys, t.lo) if t.lo != -math.inf else 0
-            before = cum[a - 1] if a > 0 else 0
-            j = bisect.bisect_right(cum, before + (t.rank - t.below))
-            if j < len(keys):
-                t.value = keys[j]
-    return True
-
-
-def order_statistics(df: DataFrame, col: str, ranks, n: int) -> dict[int, float]:
-    """Exact values at many 0-based ranks of one column, fully distributed.
-
-    Approximate splitters (one sketch) cut the column into buckets; one
-    grouped count gives exact bucket sizes, so every wanted rank maps to a
-    (bucket, offset). Only buckets holding a wanted rank are expanded into
-    (value, count) rows and ranked by a window partitioned by bucket, so no
-    step sorts the whole column or runs in one task. The wanted ranks are a
-    small table (one row per rank) joined by broadcast.
-    """
-    from pyspark.ml.feature import Bucketizer
-    from pyspark.sql import Window
-    spark = df.sparkSession
-    ranks = sorted(set(int(r) for r in ranks))
-    m = min(MAX_SPLITTERS, max(len(ranks), n // DEFAULT_CAP + 1))
-    probs = [i / m for i in range(1, m)]
-    x = F.col(col).cast("double")
-    base = df.select(x.alias("v")).where(F.col("v").isNotNull())
-    sk = base.agg(F.percentile_approx("v", probs, APPROX_ACCURACY).alias("s")).first()["s"] if probs else []
-    splits = [-math.inf] + sorted(set(float(v) for v in (sk or []))) + [math.inf]
-    bk = Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(base)
-    sizes = {int(r["b"]): int(r["n"]) for r in bk.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts, acc = {}, 0
-    for b in sorted(sizes):
-        starts[b] = acc
-        acc += sizes[b]
-    want = []
-    for r in ranks:
-        for b in sorted(sizes):
-            if starts[b] <= r < starts[b] + sizes[b]:
-                want.append((r, float(b), r - starts[b]))
-                break
-    need = sorted({w[1] for w in want})
-    vc = (bk.where(F.col("b").isin(need)).groupBy("b", "v").agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    vc = vc.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
-    tgt = spark.createDataFrame(want, "r long, b double, o long")
-    hit = vc.join(F.broadcast(tgt), "b").where((F.col("o") >= F.col("lo")) & (F.col("o") < F.col("hi")))
-    return {int(row["r"]): float(row["v"]) for row in hit.select("r", "v").collect()}
-
-
-def exact_quantiles(df: DataFrame, cols, probs, cap: int = DEFAULT_CAP,
-                    counts: dict | None = None) -> dict[str, list[float | None]]:
-    """{column: [quantile per prob]}; NULLs ignored; all-NULL column -> None.
-    ``counts`` is accepted for callers that already know the non-NULL
-    counts; the first pass recomputes them together with the distinct-value
-    estimate that selects the resolution path."""
-    cols = list(cols)
-    probs = [float(p) for p in probs]
+    for n in names:
+        cond = cond & left[n].eqNullSafe(right[f"_{n}"])
+    return cond
+
+
+def ranked_values(df: DataFrame, by: list[str], value: str = "v") -> DataFrame:
+    """(by..., value, n, lo, hi, total): each distinct value of a group with its
+    count, its 0-based ranks [lo, hi) and the group's number of non-NULL rows.
+    A group of NULLs keeps one row with total 0."""
+    counted = df.groupBy(*by, value).agg(F.count(value).alias("n"))
+    ranged = counted.repartitionByRange(*by, value).withColumn("part", F.spark_partition_id())
+    ranged = cut_lineage(ranged)  # written, so that the parts stay as they are
+    own = ["part", *by]
+    sums = ranged.groupBy(*own).agg(F.sum("n").alias("m"))  # one row per range and group
+    group = Window.partitionBy(*by)
+    sums = sums.select(*[F.col(c).alias(f"_{c}") for c in own],
+                       (F.sum("m").over(group.orderBy("part")) - F.col("m")).alias("before"),
+                       F.sum("m").over(group).alias("total"))
+    upto = F.sum("n").over(Window.partitionBy(*own).orderBy(value))
+    inside = ranged.withColumn("upto", upto)
+    joined = inside.join(sums, _same(inside, sums, own))
+    hi = F.col("before") + F.col("upto")
+    return joined.select(*by, value, "n", (hi - F.col("n")).alias("lo"), hi.alias("hi"), "total")
+
+
+def at_probability(p: float, value: str = "v") -> Column:
+    """Aggregate over :func:`ranked_values`: the quantile of a group."""
+    h = (F.col("total") - 1) * F.lit(float(p))
+    k0 = F.floor(h)
+    k1 = F.least(k0 + 1, F.col("total") - 1)
+
+    def at(k: Column) -> Column:
+        return F.max(F.when((F.col("lo") <= k) & (k < F.col("hi")), F.col(value)))
+
+    return at(k0) + (at(k1) - at(k0)) * F.max(h - k0)
+
+
+def group_quantiles(df: DataFrame, by: list[str], value: str, probs, names) -> DataFrame:
+    """by..., n and one column per probability."""
+    ranked = ranked_values(df.select(*by, F.col(value).cast("double").alias("v")), by)
+    return ranked.groupBy(*by).agg(F.max("total").alias("n"), *[
+        at_probability(p).alias(c) for p, c in zip(probs, names, strict=True)])
+
+
+def exact_quantiles(df: DataFrame, cols, probs) -> dict[str, list[float | None]]:
+    """{column: [quantile per prob]}; NULLs ignored; all-NULL column -> None."""
+    cols, probs = list(cols), [float(p) for p in probs]
     if not cols:
         return {}
-    # several passes follow: keep only the needed columns, computed once
-    src = df.select(*[F.col(c) for c in dict.fromkeys(cols)]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _exact_quantiles(src, cols, probs, cap, counts)
-    finally:
-        src.unpersist()
-
-
-def _exact_quantiles(df, cols, probs, cap, counts):
-    # first pass: non-NULL count and an HLL estimate of the distinct values
-    row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)],
-                 *[F.approx_count_distinct(F.col(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    counts = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
-    distinct = {c: int(row[f"d{i}"]) for i, c in enumerate(cols)}
-    targets: dict[tuple[str, int], _Target] = {}
-    plan: dict[str, list[tuple[int, int, float]]] = {}
-    for c in cols:
-        n = counts[c]
-        plan[c] = []
-        if n == 0:
-            continue
-        for p in probs:
-            h = (n - 1) * p
-            k0 = int(math.floor(h))
-            k1 = min(k0 + 1, n - 1)
-            frac = h - k0
-            for k in (k0, k1):
-                targets.setdefault((c, k), _Target(c, k, size=n))
-            plan[c].append((k0, k1, frac))
-
-    # small domains (few distinct values, any row count): one job reads the
-    # exact value counts of all such columns; the limit proves the bound
-    small_dom = [c for c in cols if counts[c] > cap and distinct[c] <= cap * SMALL_DOMAIN_SHARE]
-    if small_dom:
-        bound = sum(2 * distinct[c] + 64 for c in small_dom)
-        _resolve_small(df, [t for t in targets.values() if t.col in small_dom], bound)
-    by_col_count: dict[str, int] = {}
-    for t in targets.values():
-        if t.value is None:
-            by_col_count[t.col] = by_col_count.get(t.col, 0) + 1
-    for c, k in by_col_count.items():
-        if k > MANY_TARGETS and counts[c] > cap:
-            ts = [t for t in targets.values() if t.col == c and t.value is None]
-            vals = order_statistics(df, c, [t.rank for t in ts], counts[c])
-            for t in ts:
-                t.value = vals[t.rank]
-    pending = [t for t in targets.values() if t.value is None]
-    for _ in range(MAX_ROUNDS):
-        small = [t for t in pending if t.size <= cap or t.lo == t.hi]
-        for t in small:
-            if t.lo == t.hi and t.lo not in (-math.inf, math.inf):
-                t.value = t.lo
-        _resolve_small(df, [t for t in small if t.value is None])
-        pending = [t for t in pending if t.value is None]
-        if not pending:
-            break
-        # propose narrower brackets with the approximate sketch
-        aggs = []
-        for i, t in enumerate(pending):
-            q = (t.rank - t.below) / max(t.size - 1, 1)
-            d = 2.0 / APPROX_ACCURACY + 16.0 / max(t.size, 1)
-            qs = [max(0.0, q - d), min(1.0, q + d)]
-            x = F.when(_in_window(t.col, t), F.col(t.col).cast("double"))
-            aggs.append(F.percentile_approx(x, qs, APPROX_ACCURACY).alias(f"a{i}"))
-        arow = df.agg(*aggs).first()
-        proposals = [(arow[f"a{i}"][0], arow[f"a{i}"][1]) for i in range(len(pending))]
-        # verify by counting
-        caggs = []
-        for i, (t, (lo, hi)) in enumerate(zip(pending, proposals)):
-            w = _in_window(t.col, t)
-            caggs.append(F.sum(F.when(w & (F.col(t.col) < F.lit(lo)), 1).otherwise(0)).alias(f"b{i}"))
-            caggs.append(F.sum(F.when(w & (F.col(t.col) <= F.lit(hi)), 1).otherwise(0)).alias(f"u{i}"))
-        crow = df.agg(*caggs).first()
-        progressed = False
-        for i, (t, (lo, hi)) in enumerate(zip(pending, proposals)):
-            b, u = int(crow[f"b{i}"] or 0), int(crow[f"u{i}"] or 0)
-            r = t.rank - t.below          # position of the wanted row in the window
-            removed = b if b <= r else 0  # rows cut off below the new lower edge
-            upto = u if u > r else t.size
-            new_size = upto - removed
-            if removed:
-                t.lo = lo
-            if u > r:
-                t.hi = hi
-            progressed |= new_size < t.size
-            t.below += removed
-            t.size = new_size
-        if not progressed:
-            break
-    pending = [t for t in targets.values() if t.value is None]
-    if pending:
-        # the sketch made no progress (pathological ties): exact percentile of
-        # each remaining window; its buffer holds the window's distinct values
-        for t in pending:
-            r = t.rank - t.below
-            q = r / max(t.size - 1, 1)
-            row = df.filter(_in_window(t.col, t)).agg(
-                F.percentile(F.col(t.col).cast("double"), F.lit(q)).alias("v")).first()
-            t.value = row["v"]
-
-    out: dict[str, list[float | None]] = {}
-    for c in cols:
-        if counts[c] == 0:
-            out[c] = [None] * len(probs)
-            continue
-        vals = []
-        for k0, k1, frac in plan[c]:
-            a, b = targets[(c, k0)].value, targets[(c, k1)].value
-            vals.append(a + (b - a) * frac)
-        out[c] = vals
-    return out
+    entries = [F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]
+    long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.k", "e.v")
+    found = group_quantiles(long, ["k"], "v", probs, [f"q{i}" for i in range(len(probs))])
+    got = {r["k"]: [r[f"q{i}"] for i in range(len(probs))] for r in found.collect()}  # one row per column
+    return {c: got.get(i, [None] * len(probs)) for i, c in enumerate(cols)}
 
 
 def approx_quantiles(df: DataFrame, cols, probs, accuracy: int = APPROX_ACCURACY):
@@ -284,5 +87,5 @@ def approx_quantiles(df: DataFrame, cols, probs, accuracy: int = APPROX_ACCURACY
             for i, c in enumerate(cols)}
 
 
-def quantiles(df: DataFrame, cols, probs, exact: bool = True, **kw):
-    return exact_quantiles(df, cols, probs, **kw) if exact else approx_quantiles(df, cols, probs)
+def quantiles(df: DataFrame, cols, probs, exact: bool = True):
+    return exact_quantiles(df, cols, probs) if exact else approx_quantiles(df, cols, probs)

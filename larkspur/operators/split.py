@@ -1,25 +1,24 @@
 """Deterministic train/test split (T9), k-fold assignment (R1/R2) and
 learning-curve subsets (R3), all from a keyed hash: no ``randomSplit``, no
-global sort, no dependence on the partition layout."""
+global sort, no dependence on the partition layout. Each use has a seed of
+its own, so folds and subsets are independent of the split."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bucket
+from ..functions.hashing import HASH_RANGE, bucket, mix_key
 
 SPLIT_SEED = 42
 # 10,000 buckets: the test share is honoured to 0.01 %.
 SPLIT_BUCKETS = 10_000
-
-
-def _is_string_key(df: DataFrame, key: str) -> bool:
-    return df.schema[key].dataType.simpleString() == "string"
+# Hash intervals that one counting pass of the exact split tells apart.
+EXACT_FANOUT = 4_096
 
 
 def split_bucket(df: DataFrame, key: str = "id", seed: int = SPLIT_SEED, buckets: int = SPLIT_BUCKETS):
-    return bucket(key, buckets, seed, string_key=_is_string_key(df, key))
+    return bucket(key, buckets, seed)
 
 
 def assign_split(df: DataFrame, key: str = "id", test_share: float = 0.2, seed: int = SPLIT_SEED,
@@ -38,57 +37,46 @@ def train_test_split(df: DataFrame, key: str = "id", test_share: float = 0.2, se
 
 def assign_folds(df: DataFrame, key: str = "id", k: int = 5, seed: int = SPLIT_SEED,
                  col: str = "fold") -> DataFrame:
-    """Fold in [0, k) from the key hash (seed offset keeps folds
+    """Fold in [0, k) from the key hash (a seed of its own keeps folds
     independent of the train/test split)."""
-    return df.withColumn(col, bucket(key, k, seed + 1, string_key=_is_string_key(df, key)).cast("int"))
+    return df.withColumn(col, bucket(key, k, seed + 1).cast("int"))
 
 
 def with_curve_share(df: DataFrame, key: str = "id", seed: int = SPLIT_SEED,
                      buckets: int = SPLIT_BUCKETS, col: str = "curve_share") -> DataFrame:
     """R3 without duplication: a per-row share in [0, 1); the subset for
     fraction f is ``curve_share < f`` (nested by construction)."""
-    b = bucket(key, buckets, seed + 2, string_key=_is_string_key(df, key))
-    return df.withColumn(col, b.cast("double") / float(buckets))
+    return df.withColumn(col, bucket(key, buckets, seed + 2).cast("double") / float(buckets))
 
 
 def assign_split_exact(df: DataFrame, key: str = "id", test_share: float = 0.2, seed: int = SPLIT_SEED,
-                       buckets: int = SPLIT_BUCKETS, cap: int = 200_000, max_levels: int = 6) -> DataFrame:
-    """T9 with an exact test size round(test_share * n) (``key`` unique).
-
-    Whole hash buckets are assigned in bucket order; only the boundary
-    bucket is refined with a fresh hash level, until it holds at most
-    ``cap`` rows, whose keys are then read (a proven bound) to place the
-    cut. Every step is a grouped count of at most ``buckets`` rows: no
-    global sort, no row numbers over the whole table."""
-    string_key = _is_string_key(df, key)
-    n = df.count()
-    remaining = int(round(test_share * n))
-    in_test = F.lit(False)
-    scope = F.lit(True)           # rows still undecided: the boundary bucket chain
-    for level in range(max_levels):
-        if remaining == 0:
-            break
-        b = bucket(key, buckets, seed + 10 + level, string_key=string_key)
-        counts = sorted((int(r["b"]), int(r["n"])) for r in
-                        df.filter(scope).groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
-        taken, boundary, bsize = 0, None, 0
-        for bi, c in counts:
-            if taken + c <= remaining:
-                taken += c
-                continue
-            boundary, bsize = bi, c
-            break
-        if boundary is None:          # every undecided row goes to test
-            in_test = in_test | scope
-            remaining = 0
-            break
-        in_test = in_test | (scope & (b < F.lit(boundary)))
-        remaining -= taken
-        scope = scope & (b == F.lit(boundary))
-        if bsize <= cap:
-            keys = sorted(r[0] for r in df.filter(scope).select(key).collect())   # <= cap rows
-            if remaining > 0:
-                in_test = in_test | (scope & (F.col(key) <= F.lit(keys[remaining - 1])))
-            remaining = 0
-            break
+                       fanout: int = EXACT_FANOUT) -> DataFrame:
+    """T9 with an exact test size round(test_share * n) for a unique ``key``:
+    the rows with the smallest hashes.
+
+    The hash at the cut is found digit by digit: each pass counts the rows of
+    the open interval in ``fanout`` parts (at most that many rows reach the
+    driver) and descends into the part that holds the cut. 60 bits of hash end
+    after ten passes or fewer; rows that share the whole hash are cut by key."""
+    h = mix_key(key, seed + 10)
+    rows = df.select(h.alias("h"), F.col(key).alias("k")).persist()
+    try:
+        wanted = int(round(test_share * rows.count()))
+        low, width = 0, HASH_RANGE            # the cut lies in [low, low + width)
+        while wanted and width > 1:
+            step = -(-width // fanout)
+            part = F.expr(f"(h - {low}L) div {step}L")
+            counts = rows.where((F.col("h") >= low) & (F.col("h") < low + width)).groupBy(part.alias("p")).count().collect()
+            for p, n in sorted((r["p"], r["count"]) for r in counts):
+                if n >= wanted:
+                    low, width = low + p * step, step
+                    break
+                wanted -= n
+        last = None
+        if wanted:                            # the wanted-th smallest key among equal hashes
+            same = rows.where(F.col("h") == low).orderBy("k").limit(wanted)
+            last = same.agg(F.max("k").alias("k")).first()["k"]
+    finally:
+        rows.unpersist()
+    in_test = F.lit(False) if last is None else (h < low) | ((h == low) & (F.col(key) <= F.lit(last)))
     return df.withColumn("split", F.when(in_test, F.lit("test")).otherwise(F.lit("train")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_clean, q_eval, q_features, q_models  # noqa: F401  (registration side effects)
+from . import q_clean, q_eval, q_features, q_invariants, q_models  # noqa: F401  (registration side effects)
 from .registry import OPERATORS, ORACLE, QUERIES
 
 

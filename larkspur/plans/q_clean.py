@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bucket_sql
+from ..functions.hashing import bucket_sql, mix_key_sql
 from ..operators import clean as cl
 from ..operators import encode as en
 from ..operators import profile as pf
-from ..operators.split import assign_folds, assign_split
+from ..operators.split import assign_folds, assign_split, with_curve_share
 from ..sources.listing import dirty_listing, listing
+from ..sources.tables import cut_lineage
 from .oracle_base import with_dirty_listing, with_listing
 from .q_features import _NUM, _r, _unpivot_sql
 from .registry import register
@@ -101,7 +102,7 @@ def corr_with_target(spark, sf):
     return _round_cols(out, ("corr",))
 
 
-CORR_TOP_N = 8
+CORR_TOP_N = 15
 
 
 @register("corr_matrix_top", "A13", with_listing(f"""
@@ -203,7 +204,7 @@ med AS (SELECT quantile_cont(CAST(GrLivArea AS DOUBLE), 0.5) AS m FROM dirty_lis
 imputed AS (SELECT coalesce(CAST(GrLivArea AS DOUBLE), m) AS GrLivArea FROM dirty_listing, med)
 """ + _hist_sql("dirty_listing", "GrLivArea", 30, "before") + " UNION ALL " + _hist_sql("imputed", "GrLivArea", 30, "after")))
 def imputation_compare(spark, sf):
-    d = dirty_listing(spark, sf).cache()
+    d = cut_lineage(dirty_listing(spark, sf))
     imp = cl.fit_imputer(d.select("GrLivArea"), strategy="median").transform(d.select("GrLivArea"))
     return pf.imputation_compare(d, imp, ["GrLivArea"], 30)
 
@@ -362,11 +363,24 @@ def kfold_assign(spark, sf):
     return assign_folds(listing(spark, sf).select("id"), k=5)
 
 
+@register("split_fold_counts", "T9 R1 R3", with_listing(f""",
+t AS (SELECT {_split_sql()} AS split, CAST({bucket_sql('id', 5, 43)} AS INTEGER) AS fold,
+               {bucket_sql('id', 10000, 44)} / 10000.0::DOUBLE AS share FROM listing)
+SELECT split, fold, count(*) AS n, CAST(sum(CASE WHEN share < 0.1 THEN 1 ELSE 0 END) AS BIGINT) AS n10,
+       CAST(sum(CASE WHEN share < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS n50 FROM t GROUP BY split, fold"""))
+def split_fold_counts(spark, sf):
+    """Folds and curve subsets are independent of the split: every cell holds its share."""
+    t = with_curve_share(assign_folds(assign_split(listing(spark, sf).select("id"))))
+    return t.groupBy("split", "fold").agg(
+        F.count("*").alias("n"), F.sum(F.when(F.col("curve_share") < 0.1, 1).otherwise(0)).alias("n10"),
+        F.sum(F.when(F.col("curve_share") < 0.5, 1).otherwise(0)).alias("n50"))
+
+
 @register("hash_split_exact", "T9", with_listing(f""",
-o AS (SELECT id, row_number() OVER (ORDER BY {bucket_sql('id', 10000, 52)}, id) AS rn,
+o AS (SELECT id, row_number() OVER (ORDER BY {mix_key_sql('id', 52)}, id) AS rn,
              count(*) OVER () AS n FROM listing)
 SELECT id, CASE WHEN rn <= CAST(round(0.2 * n) AS BIGINT) THEN 'test' ELSE 'train' END AS split FROM o"""))
 def hash_split_exact(spark, sf):
-    """Exact test size: whole hash buckets, then the boundary bucket cut by key."""
+    """Exact test size: the rows with the smallest hashes."""
     from ..operators.split import assign_split_exact
     return assign_split_exact(listing(spark, sf).select("id"))

@@ -6,14 +6,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bucket_sql, mix_key_sql
+from ..functions.hashing import HASH_RANGE, bucket_sql, mix_key_sql
 from ..functions.normal import norm_ppf_sql
 from ..operators import evaluate as ev
 from ..operators import pricing as pr
 from ..operators.bootstrap import bootstrap_metrics, poisson_weight_sql
 from ..operators.split import assign_split
 from ..sources.listing import listing
-from ..sources.tables import read_table
+from ..sources.tables import cut_lineage, read_table
 from .oracle_base import with_listing
 from .q_clean import _round_cols, _split_sql
 from .q_features import HEDONIC_SQL, _r
@@ -81,34 +81,28 @@ b AS (SELECT CAST(least(5, greatest(1, CAST(ceil((actual - lo) / ((hi - lo) / 5.
 g AS (SELECT range_bin, avg(abs(actual - predicted)) AS mae,
              avg(CASE WHEN actual = 0 THEN NULL ELSE abs(actual - predicted) / abs(actual) END * 100) AS mpe,
              count(*) AS n FROM b GROUP BY range_bin)
-SELECT CAST(r.b AS INTEGER) AS range_bin, round(g.mae, 6) AS mean_abs_error, round(g.mpe, 6) AS mean_pct_error,
+SELECT CAST(r.b AS INTEGER) AS range_bin,
+       (['Very Low', 'Low', 'Medium', 'High', 'Very High'])[r.b] AS range_label, round(g.mae, 6) AS mean_abs_error, round(g.mpe, 6) AS mean_pct_error,
        CAST(coalesce(g.n, 0) AS BIGINT) AS "count"
 FROM range(1, 6) r(b) LEFT JOIN g ON g.range_bin = r.b"""))
 def error_by_price_range(spark, sf):
     return _round_cols(ev.error_by_range(scored(spark, sf), bins=5), ("mean_abs_error", "mean_pct_error"))
 
 
-QQ_POINTS = 1000
-
-
 @register("qq_points", "A27", with_listing(SCORED_SQL + f""",
 r AS (SELECT actual - predicted AS r FROM scored),
-n AS (SELECT count(*) AS n, least(count(*), {QQ_POINTS}) AS m FROM r),
-ranks AS (SELECT DISTINCT CASE WHEN m > 1 THEN (k * (n - 1)) // (m - 1) ELSE 0 END AS rk FROM n, range(0, {QQ_POINTS}) t(k)
-          WHERE k < m),
-ordered AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS rk FROM r),
-pts AS (SELECT CAST(row_number() OVER (ORDER BY ranks.rk) - 1 AS INTEGER) AS k, CAST(ranks.rk AS BIGINT) AS rank,
-               ordered.r AS ordered,
-               CASE WHEN ranks.rk = 0 THEN 1.0 - pow(0.5, 1.0 / n) WHEN ranks.rk = n - 1 THEN pow(0.5, 1.0 / n)
-                    ELSE (ranks.rk + 1 - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS p
-        FROM ranks JOIN ordered ON ordered.rk = ranks.rk, n),
-th AS (SELECT k, rank, ordered, {norm_ppf_sql('p')} AS theoretical FROM pts),
+n AS (SELECT count(*) AS n FROM r),
+pts AS (SELECT CAST(row_number() OVER (ORDER BY r) - 1 AS BIGINT) AS rank, r AS ordered FROM r),
+q AS (SELECT rank, ordered,
+             CASE WHEN rank = 0 THEN 1.0 - pow(0.5, 1.0 / n) WHEN rank = n - 1 THEN pow(0.5, 1.0 / n)
+                  ELSE (rank + 1 - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS p FROM pts, n),
+th AS (SELECT rank, ordered, {norm_ppf_sql('p')} AS theoretical FROM q),
 line AS (SELECT regr_slope(ordered, theoretical) AS slope, regr_intercept(ordered, theoretical) AS intercept FROM th)
-SELECT k, rank, round(theoretical, 6) AS theoretical, round(ordered, 6) AS ordered, round(slope, 4) AS slope,
+SELECT rank, round(theoretical, 6) AS theoretical, round(ordered, 6) AS ordered, round(slope, 4) AS slope,
        round(intercept, 4) AS intercept FROM th, line"""))
 def qq_points(spark, sf):
-    q = ev.qq_points(scored(spark, sf), points=QQ_POINTS)
-    return q.select("k", "rank", _r("theoretical").alias("theoretical"), _r("ordered").alias("ordered"),
+    q = ev.qq_points(scored(spark, sf))
+    return q.select("rank", _r("theoretical").alias("theoretical"), _r("ordered").alias("ordered"),
                     _r("slope", 4).alias("slope"), _r("intercept", 4).alias("intercept"))
 
 
@@ -197,7 +191,7 @@ rk AS (SELECT t.model, t.ordinal, round(tr.r2, 4) AS train_r2, round(t.r2, 4) AS
 
 
 def _predictor_table(spark, sf):
-    s = assign_split(scored(spark, sf)).cache()
+    s = cut_lineage(assign_split(scored(spark, sf)))
     mean_train = s.filter(F.col("split") == "train").agg(F.avg("actual")).first()[0]
     preds = {
         "hedonic": (1, F.col("predicted")),
@@ -260,7 +254,7 @@ BOOT_REPLICATES = 100
 
 @register("bootstrap_ci", "R4", with_listing(SCORED_SQL + f""",
 w AS (SELECT b, actual, predicted,
-        (CAST({mix_key_sql('(id % 2147483647) * 131 + b', 7)} AS DOUBLE) + 0.5::DOUBLE) / 2147483647.0::DOUBLE AS u
+        (CAST({mix_key_sql('id', "'7/' || b")} AS DOUBLE) + 0.5::DOUBLE) / {float(HASH_RANGE)!r}::DOUBLE AS u
       FROM scored, range(1, {BOOT_REPLICATES + 1}) t(b)),
 pw AS (SELECT b, actual, predicted, {poisson_weight_sql('u')} AS wt FROM w),
 rep AS (SELECT b, sum(wt * (actual - predicted)) / sum(wt) AS mean_residual,

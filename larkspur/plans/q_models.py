@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket_sql
@@ -12,6 +11,7 @@ from ..operators import models as md
 from ..operators.split import with_curve_share
 from ..sources import files
 from ..sources.listing import dirty_listing, listing
+from ..sources.tables import cut_lineage
 from ..streaming.score_stream import score_stream
 from . import training as tr
 from .oracle_base import with_dirty_listing, with_listing
@@ -20,7 +20,7 @@ from .registry import register
 
 
 def _frame(spark, sf):
-    return tr.model_frame(listing(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+    return cut_lineage(tr.model_frame(listing(spark, sf)))   # fitted on many times
 
 
 def _test_predictions(spark, sf, name, features=tr.MODEL_FEATURES):
@@ -214,7 +214,7 @@ def stream_score(spark, sf):
 def learning_curve(spark, sf):
     d = _frame(spark, sf)
     train, test = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
-    shared = with_curve_share(train).persist(StorageLevel.MEMORY_AND_DISK)
+    shared = with_curve_share(train)
     from ..operators.evaluate import regression_metrics
     rows = []
     for f in [round(0.1 * i, 1) for i in range(1, 11)]:

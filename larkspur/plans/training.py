@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -68,7 +67,7 @@ def train_end_to_end(df: DataFrame, roles: ColumnRoles = HOUSING, names=md.MODEL
     test = data.filter(F.col("split") == "test")
     feats = [c for c in pre.feature_cols if c != key]
     results, fitted = md.train_models(train, test, feats, label, names, key)
-    results = results.persist(StorageLevel.MEMORY_AND_DISK)
+    results = cut_lineage(results)
     best = md.select_best(results, select_metric).first()["model"]
     importance = md.feature_importance(fitted[best], feats, 20, df.sparkSession)
     # one artifact: feature step + imputer + encoder + scaler + assembler + model
@@ -84,13 +83,13 @@ def full_evaluation(model: PipelineModel, test: DataFrame, label: str, n_feature
                     key: str = "id", feature_names=None) -> dict:
     """Predictions -> metrics, residuals, range errors, Q-Q points,
     importance, as a dict of small DataFrames (one cached prediction frame)."""
-    pred = model.transform(test).select(key, F.col(label).cast("double").alias("actual"),
-                                        F.col("prediction").alias("predicted")).persist(StorageLevel.MEMORY_AND_DISK)
+    pred = cut_lineage(model.transform(test).select(key, F.col(label).cast("double").alias("actual"),
+                                                    F.col("prediction").alias("predicted")))
     out = {
         "metrics": ev.metric_gate(ev.regression_metrics(pred, n_features=n_features)),
         "residual_summary": ev.residual_summary(pred),
         "error_by_range": ev.error_by_range(pred),
-        "qq": ev.qq_points(pred, points=200),
+        "qq": ev.qq_points(pred),
     }
     if feature_names is not None:
         out["importance"] = md.feature_importance(model, feature_names, 20, test.sparkSession)
@@ -98,8 +97,8 @@ def full_evaluation(model: PipelineModel, test: DataFrame, label: str, n_feature
 
 
 # Fixed value: the base numeric features used by the model queries.
-MODEL_FEATURES = ("LotArea", "YearBuilt", "YearRemodAdd", "TotalBsmtSF", "GrLivArea", "FullBath",
-                  "HalfBath", "GarageArea", "OverallQual", "OverallCond")
+MODEL_FEATURES = ("LotArea", "YearBuilt", "YearRemodAdd", "TotalBsmtSF", "GrLivArea", "FullBath", "HalfBath",
+                  "BedroomAbvGr", "TotRmsAbvGrd", "GarageArea", "PoolArea", "OverallQual", "OverallCond")
 
 
 def model_frame(df: DataFrame, key: str = "id", label: str = "SalePrice") -> DataFrame:

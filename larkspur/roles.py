@@ -75,9 +75,9 @@ def boolean_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.BooleanType)]
 
 
-def split_features_target(df: DataFrame, target: str = HOUSING_TARGET):
+def split_features_target(df: DataFrame, target: str = HOUSING_TARGET, key: str = "id"):
     """Feature table and target table. The key column stays in both so
     they can be re-joined by key (never by position)."""
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found in DataFrame.")
-    return df.drop(target), df.select(*[c for c in df.columns if c == "id"], target)
+        raise ValueError(f"no column {target!r} to predict among {', '.join(df.columns)}")
+    return df.drop(target), df.select(*[c for c in df.columns if c == key], target)

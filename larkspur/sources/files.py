@@ -26,6 +26,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "larkspur-out", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path exists in its own file system, local or not."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              na_tokens=NA_TOKENS) -> DataFrame:
     """Header row; explicit schema when given (no inference pass at

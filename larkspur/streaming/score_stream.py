@@ -28,8 +28,8 @@ def stream_source(spark: SparkSession, sf_dir: str, table: str = "lineitem",
 def start_scoring(spark: SparkSession, sf_dir: str, model: PipelineModel, out_path: str,
                   checkpoint: str, keep=("id",), available_now: bool = True):
     rows = listing(spark, sf_dir, stream_source(spark, sf_dir))
-    scored = model.transform(rows).select(*keep, F.greatest(F.bround("prediction", 2), F.lit(0.0))
-                                          .alias("PredictedPrice"))
+    price = F.greatest(F.bround("prediction", 2), F.lit(0.0))
+    scored = model.transform(rows).select(*keep, F.when(F.col("prediction").isNotNull(), price).alias("PredictedPrice"))
     w = (scored.writeStream.format("parquet").option("path", out_path)
                .option("checkpointLocation", checkpoint).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -79,9 +79,10 @@ def test_folds_and_learning_curve(spark):
 def test_exact_split_size(spark):
     from larkspur.operators.split import assign_split_exact
     df = spark.range(12345)
-    for cap in (200_000, 3):          # direct cut and refined boundary levels
-        s = assign_split_exact(df, cap=cap)
-        assert s.filter(F.col("split") == "test").count() == round(0.2 * 12345)
+    for fanout in (4096, 2):          # few passes and one per bit
+        for share in (0.2, 0.33337, 0.0, 1.0):
+            s = assign_split_exact(df, test_share=share, fanout=fanout)
+            assert s.filter(F.col("split") == "test").count() == round(share * 12345)
     s1 = {r["id"] for r in assign_split_exact(df).filter("split = 'test'").collect()}
     s2 = {r["id"] for r in assign_split_exact(df.repartition(5)).filter("split = 'test'").collect()}
     assert s1 == s2

@@ -9,19 +9,21 @@ from larkspur.operators import profile as pf
 from larkspur.operators.quantiles import exact_quantiles
 
 
-def test_exact_quantiles_both_paths(spark):
+def test_exact_quantiles(spark):
     rng = np.random.default_rng(1)
     x = np.round(rng.lognormal(3, 1, 5000), 1)
     y = rng.integers(0, 7, 5000).astype(float)
     df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    for cap in (100_000, 50):            # direct and refined windows
-        q = exact_quantiles(df, ["x", "y"], probs, cap=cap)
+    for parts in (1, 23):                # one range and many
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        q = exact_quantiles(df, ["x", "y"], probs)
         for c, arr in (("x", x), ("y", y)):
             ref = pd.Series(arr).quantile(probs).values
-            assert np.allclose(q[c], ref, rtol=0, atol=1e-9), (cap, c)
+            assert np.allclose(q[c], ref, rtol=0, atol=1e-9), (parts, c)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
     many = [i / 99 for i in range(100)]
-    q = exact_quantiles(df, ["x"], many, cap=50)   # bucketed order statistics
+    q = exact_quantiles(df, ["x"], many)
     assert np.allclose(q["x"], pd.Series(x).quantile(many).values, atol=1e-9)
 
 
