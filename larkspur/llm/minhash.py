@@ -108,8 +108,9 @@ def _cutoff(k: int, percent: int) -> float:
 
 
 def list_members(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(value, cls, shared, keys): the inverted lists with two members or more,
-    each class under the rarest values it needs as keys."""
+    """(value, df, cls, shared, earlier): the inverted lists with two members or
+    more, each class under the rarest values it needs as keys, in the order of
+    (df, value); ``earlier`` are its keys before this one."""
     postings = classes.select("cls", F.explode("sketch").alias("value"))
     counts = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     shared = (postings.join(counts, "value").groupBy("cls")
@@ -118,9 +119,11 @@ def list_members(classes: DataFrame, k: int, percent: int) -> DataFrame:
     alone = F.size("sketch") - F.size("keys")
     # values that no other class retains are the rarest keys; they fill the prefix first
     keys = classes.join(shared, "cls").withColumn("take", needed - alone).where("take > 0")
-    taken = F.transform(F.slice("keys", F.lit(1), F.greatest("take", F.lit(0))), lambda key: key["value"])
+    taken = F.slice("keys", F.lit(1), F.greatest("take", F.lit(0)))
     lists = keys.select("cls", F.size("keys").alias("shared"), taken.alias("keys"))
-    return lists.select(F.explode("keys").alias("value"), "cls", "shared", "keys")
+    return lists.select("cls", "shared", "keys", F.posexplode("keys").alias("at", "key")).select(
+        F.col("key.value").alias("value"), F.col("key.df").alias("df"), "cls", "shared",
+        F.slice("keys.value", F.lit(1), F.col("at")).alias("earlier"))
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -193,7 +196,7 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _block_links(value: int, pdf: pd.DataFrame, k: int, percent: int) -> list[tuple[int, int]]:
+def _block_links(pdf: pd.DataFrame, k: int, percent: int) -> list[tuple[int, int]]:
     """Links between different components within one pair of blocks of one
     list; of several that join the same components, one. A pair is compared
     in the first list that both are in."""
@@ -208,7 +211,7 @@ def _block_links(value: int, pdf: pd.DataFrame, k: int, percent: int) -> list[tu
     possible &= 100 * size[:, None] >= percent * size[None, :]
     possible &= 100 * size[None, :] >= percent * size[:, None]
     possible &= comps[:, None] != comps[None, :]
-    earlier = [keys[keys < value] for keys in pdf["keys"]]
+    earlier = [np.asarray(e, np.int64) for e in pdf["earlier"]]
     if any(len(e) for e in earlier):
         possible &= _shared(earlier) == 0
     rows = np.flatnonzero(possible.any(axis=1))
@@ -245,33 +248,58 @@ def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
     first = common.stage(_confirm(pairs, sets, percent), "minhash-links")
 
     # lists of three and more whose members are not yet in one component; of
-    # lists with the same members, one
+    # lists with the same members, the first
     comps = components(first)
     labelled = (lists.join(comps.withColumnRenamed("node", "cls"), "cls", "left")
-                .select("value", "cls", "keys", F.coalesce("component", "cls").alias("component")))
+                .select("value", "df", "cls", "earlier", F.coalesce("component", "cls").alias("component")))
     labelled = common.stage(labelled, "minhash-labelled")
     open_lists = (labelled.groupBy("value")
-                  .agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                  .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("df").alias("df"),
                        F.count("*").alias("members"), F.bit_xor(F.xxhash64("cls")).alias("mark"),
                        F.bit_xor(F.hash("cls")).alias("mark2"))
                   .where("low != high and members > 2").groupBy("members", "low", "high", "mark", "mark2")
-                  .agg(F.min("value").alias("value"))
-                  .select("value", F.ceil(F.col("members") / F.lit(block / 2)).cast("int").alias("blocks")))
+                  .agg(F.min(F.struct("df", "value")).alias("list")).select("members", F.col("list.value").alias("value")))
     todo = common.stage(labelled.join(open_lists, "value"), "minhash-open")
     sets = common.stage(_sets_of(docs, classes, todo.select("cls").distinct(), key, text, width), "minhash-sets")
-    mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    tiles = (todo.withColumn("mine", mine)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("value", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
-                     "cls", "component", "keys"))
 
-    def compare(tile: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_block_links(tile[0], pdf, k, percent), columns=["a", "b"], dtype="int64")
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_block_links(pdf, k, percent), columns=["a", "b"], dtype="int64")
 
-    rest = tiles.join(sets, "cls").groupBy("value", "low", "high").applyInPandas(compare, "a long, b long")
+    tiles = _tiles(todo, block)
+    rest = tiles.join(sets, "cls").groupBy("value", "kind", "low", "high").applyInPandas(compare, "a long, b long")
     return common.stage(first.union(rest.distinct()), "minhash-all-links")
 
 
+def _tiles(members: DataFrame, block: int) -> DataFrame:
+    """Pairs of blocks of a list that have to meet. Members of one component
+    need not meet each other, nor do members with the same first key (they met
+    in that list): the largest such group of a list, its crowd, meets only the
+    others, who meet all."""
+    tag = F.struct(F.lit("component").alias("by"), F.col("component").alias("v"))
+    met = F.when(F.size("earlier") > 0, F.struct(F.lit("key").alias("by"), F.get("earlier", F.lit(0)).alias("v")))
+    tagged = members.withColumn("tags", F.array_compact(F.array(tag, met)))
+    crowd = (tagged.select("value", "members", F.explode("tags").alias("tag")).groupBy("value", "members", "tag").count()
+             .groupBy("value", "members").agg(F.max(F.struct("count", "tag")).alias("top")))
+    half = block / 2
+    plan = crowd.select(
+        "value", F.col("top.tag").alias("crowd"), F.ceil(F.col("top.count") / half).cast("int").alias("crowd_blocks"),
+        F.ceil((F.col("members") - F.col("top.count")) / half).cast("int").alias("other_blocks")).where("other_blocks > 0")
+    sided = tagged.join(plan, "value").withColumn("in_crowd", F.array_contains("tags", F.col("crowd")))
+    mine = F.pmod(F.xxhash64("cls"), F.when(F.col("in_crowd"), F.col("crowd_blocks")).otherwise(F.col("other_blocks")))
+
+    def tile(kind: str, low, high) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"))
+
+    others = F.sequence(F.lit(0), F.col("other_blocks") - 1)
+    crowds = F.sequence(F.lit(0), F.col("crowd_blocks") - 1)
+    mine_at = F.col("mine")
+    places = F.when(F.col("in_crowd"), F.transform(others, lambda i: tile("crowd", i, mine_at))).otherwise(F.concat(
+        F.transform(others, lambda i: tile("others", F.least(i, mine_at), F.greatest(i, mine_at))),
+        F.transform(crowds, lambda i: tile("crowd", mine_at, i))))
+    return (sided.withColumn("mine", mine.cast("int")).withColumn("place", F.explode(places))
+            .select("value", "place.kind", "place.low", "place.high", "cls", "component", "earlier"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, k: int = K,
                     percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """key, n_shingles, component_id and kept for every row of ``docs``."""
