@@ -126,9 +126,10 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
 
 def trigram_index(docs: DataFrame, trigrams: list[str], key: str, text: str) -> DataFrame:
     """(trigram, key): postings of the trigrams that queries name."""
-    lower = F.lower(F.col(text))
-    held = F.array_compact(F.array(*[F.when(lower.contains(F.lit(t)), F.lit(t)) for t in trigrams]))
-    return docs.select(F.col(key).alias("_key"), F.explode(held).alias("trigram"))
+    lowered = docs.select(F.col(key).alias("_key"), F.lower(F.col(text)).alias("_low"))  # once, not per trigram
+    held = F.array_compact(F.array(*[F.when(F.col("_low").contains(F.lit(t)), F.lit(t)) for t in trigrams]))
+    # explode_outer: for explode the optimizer would evaluate the whole array once more, as a filter
+    return lowered.select("_key", F.explode_outer(held).alias("trigram")).where("trigram IS NOT NULL")
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str = "doc_id", text: str = "text") -> DataFrame:
