@@ -116,8 +116,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
         bloom, blocks = bloom_filter(best)
         # a URL's rule depends on its host and path alone: judge each pair once
         pairs = named.where("_host != ''").select("_host", "_path").distinct()
-        possible = pairs.select("_host", "_path", F.explode(possible_keys(
-            F.col("_host"), F.col("_path"), lengths, bloom, blocks)).alias("k"))
+        # explode_outer: for explode the optimizer would evaluate the keys once more, as a filter
+        possible = pairs.select("_host", "_path", F.explode_outer(possible_keys(
+            F.col("_host"), F.col("_path"), lengths, bloom, blocks)).alias("k")).where("k IS NOT NULL")
         hits = possible.join(best, (F.col("k.host") == F.col("rule_host")) & (F.col("k.path") == F.col("rule_path")))
         winner = F.max(F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"),
                                 F.length("rule_host").alias("h"), "rule_host", "rule_path", "verdict"))
