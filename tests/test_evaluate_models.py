@@ -44,7 +44,7 @@ def test_qq_points_filliben(spark):
     rng = np.random.default_rng(5)
     r = rng.normal(0, 1, 300)
     df = spark.createDataFrame(pd.DataFrame({"actual": r, "predicted": np.zeros(300)}))
-    q = ev.qq_points(df, points=1000).orderBy("k").collect()
+    q = ev.qq_points(df).orderBy("rank").collect()
     assert len(q) == 300
     assert np.allclose([x["ordered"] for x in q], np.sort(r))
     # Filliben median position for the middle rank
@@ -56,7 +56,7 @@ def test_qq_points_filliben(spark):
 
 def test_poisson_thresholds():
     cdf = poisson1_cdf()
-    assert math.isclose(cdf[0], math.exp(-1)) and cdf[-1] < 1.0
+    assert math.isclose(cdf[0], math.exp(-1)) and cdf[-1] <= 1.0 + 1e-12
 
 
 def _xy(spark, n=200, seed=42):
