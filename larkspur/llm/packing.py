@@ -43,7 +43,7 @@ CAPACITY = 2048
 END_ID = 0
 SMALL = CAPACITY // 3
 GROUPS = 320
-RANK_ROWS = 4096  # rows of one length that one salted part holds on average
+RANK_ROWS = 256  # rows of one length that one salted part holds on average
 
 
 # -- tokenising ------------------------------------------------------------
