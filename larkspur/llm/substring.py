@@ -13,8 +13,8 @@ a row are repeated, so a chance collision removes nothing.
 
 Defined results: null text stays null, an empty one empty; a document that is
 one repeated passage becomes empty but stays; repeated rows (one key, one
-text) count as one document and stay alike; rows with one key and different
-texts are cut each for itself; a null key takes no part; passages repeated
+text) count as one document and stay alike, as do rows with one key and
+different texts; a null key takes no part; passages repeated
 only within a document stay; other columns pass through.
 """
 
@@ -82,45 +82,42 @@ def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return digest.view(np.int64), ends - starts, begins[starts], stops[ends - 1]
 
 
-CHUNK = T.StructType([T.StructField("digest", T.LongType()), T.StructField("no", T.IntegerType()),
-                      T.StructField("words", T.IntegerType()), T.StructField("begin", T.IntegerType()),
-                      T.StructField("stop", T.IntegerType())])
+CHUNK = T.StructType([T.StructField("doc", T.LongType()), T.StructField("digest", T.LongType())])
 
 
 def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per chunk: the key, mark (a hash of the text, to tell texts of
-    one key apart) and CHUNK."""
+    """(doc, digest): one row for each distinct chunk of each text."""
     source = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
-    out = T.StructType([T.StructField("doc", T.LongType()), T.StructField("mark", T.LongType()), *CHUNK.fields])
-    schema = pa.schema([(f.name, t) for f, t in zip(out.fields, common.arrow_types(out), strict=True)])
+        F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    schema = pa.schema([("doc", pa.int64()), ("digest", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, common.BATCH_ROWS):
                 batch = whole.slice(at, common.BATCH_ROWS)
-                made = [chunks(t) for t in common.byte_texts(common.column(batch, "text"))]
-                counts = [len(m[0]) for m in made]
-                rows = pa.array(np.repeat(np.arange(len(made)), counts))
-                columns = [common.column(batch, "doc").take(rows), common.column(batch, "mark").take(rows)]
-                number = [np.arange(n) for n in counts]
-                for c, values in zip(CHUNK.fields, [[m[0] for m in made], number, *([m[i] for m in made] for i in (1, 2, 3))],
-                                     strict=True):
-                    kind = np.int64 if isinstance(c.dataType, T.LongType) else np.int32
-                    columns.append(pa.array(np.concatenate(values).astype(kind) if values else np.empty(0, kind)))
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                made = [np.unique(chunks(t)[0]) for t in common.byte_texts(common.column(batch, "text"))]
+                rows = np.repeat(np.arange(len(made)), [len(m) for m in made])
+                yield pa.RecordBatch.from_arrays(
+                    [common.column(batch, "doc").take(pa.array(rows)), pa.array(np.concatenate(made))], schema=schema)
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(run, CHUNK)
 
 
 def repeated_chunks(table: DataFrame) -> DataFrame:
-    """doc, mark and (_chunks), for its chunks that a smaller doc_id holds too, the list
-    of (no, words, begin, stop, first)."""
+    """_doc and, for its chunks that a smaller doc_id holds too, (_chunks) the
+    list of (digest, first)."""
     firsts = (table.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
               .where("first < last").drop("last"))
     hits = table.join(firsts, "digest").where("doc > first")
-    return hits.groupBy("doc", "mark").agg(F.sort_array(F.collect_set(
-        F.struct("no", "words", "begin", "stop", "first"))).alias("_chunks"))
+    return hits.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("digest", "first")).alias("_chunks"))
+
+
+def found_in(text: bytes, repeated: list[dict]) -> list[dict]:
+    """The repeated chunks of a text, in order."""
+    first = {r["digest"]: r["first"] for r in repeated}
+    digest, words, begin, stop = (a.tolist() for a in chunks(text))
+    return [{"no": i, "words": words[i], "begin": begin[i], "stop": stop[i], "first": first[d]}
+            for i, d in enumerate(digest) if d in first]
 
 
 def passages(found: list[dict], least: int) -> list[tuple[int, int, int, list[int]]]:
@@ -157,16 +154,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run
     """``docs`` with repeated passages cut out of the text, and ``passages``:
     byte spans of the original text, their words and the documents that keep
     them."""
-    repeated = repeated_chunks(chunk_table(docs, key, text))  # chunking twice is cheaper than keeping all chunks
-    mine = docs.drop("passages").withColumn("_doc", F.col(key).cast("long")).withColumn("_mark", F.xxhash64(text))
-    joined = mine.join(repeated.withColumnsRenamed({"doc": "_doc", "mark": "_mark"}), ["_doc", "_mark"], "left")
+    repeated = repeated_chunks(chunk_table(docs, key, text))  # chunking again is cheaper than moving spans
+    joined = docs.drop("passages").withColumn("_doc", F.col(key).cast("long")).join(repeated, "_doc", "left")
     added = T.StructType([docs.schema[text], *RESULT.fields])
 
     def compute(batch):
         texts, spans = [], []
         raw = common.column(batch, text).cast(pa.binary()).to_pylist()
         for t, found in zip(raw, common.column(batch, "_chunks").to_pylist(), strict=True):
-            runs = passages(found, run_words) if found else []
+            runs = passages(found_in(t, found), run_words) if found and t else []
             texts.append(cut(t, runs).decode() if runs else None if t is None else t.decode())
             spans.append([dict(zip(("begin", "stop", "words", "first_docs"), r, strict=True)) for r in runs])
         return [texts, spans]
