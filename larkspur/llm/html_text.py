@@ -221,8 +221,10 @@ def site_templates(pages: DataFrame, html: str = "html") -> DataFrame:
     share = F.when(F.col("inside"), F.lit(INSIDE_SHARE)).otherwise(F.lit(OUTSIDE_SHARE))
     often = counts.where(f"hash IS NOT NULL AND count >= {LEAST_PAGES}").join(sizes, "host").where(
         F.col("count") >= share * F.col("pages"))
-    return often.groupBy(F.col("host").alias("_host")).agg(
-        F.collect_list(F.struct("hash", "inside")).alias("_templates"))
+    found = often.groupBy(F.col("host").alias("_host")).agg(F.collect_list(F.struct("hash", "inside")).alias("_templates"))
+    # written, so that the join with the pages has exchanges of its own and a
+    # host with very many pages can be split
+    return common.stage(found, "html-templates")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", text: str = "text",
