@@ -38,7 +38,7 @@ from . import common
 from .bpe import WHITE_SPACE
 from .packing import byte_alphabet
 
-CACHE_LIMIT = 200_000
+CACHE_LIMIT = 400_000   # words that one worker keeps; emptied when full
 # Separators to Python that are none to the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
 _CHUNK = regex.compile(f"[^{WHITE_SPACE}]+")
@@ -86,7 +86,7 @@ class WordTable:
     def follows(self, left: str, right: str) -> bool:
         """Whether the two tokens (the left one may be empty) are the encoding
         of their joint string."""
-        if len(self.valid) >= 4 * CACHE_LIMIT:
+        if len(self.valid) >= 2 * CACHE_LIMIT:
             self.valid.clear()
         tokens = [left, right] if left else [right]
         got = self.valid[left, right] = self._merged([s for t in tokens for s in self._symbols(t)]) == tokens
@@ -160,7 +160,7 @@ class WordTable:
                 before = got[-1]
                 got += [before + c for c in self.piece_counts(piece)[1:]]
             if len(chunk) <= 64:
-                if len(self.tables) >= CACHE_LIMIT:
+                if len(self.tables) >= CACHE_LIMIT // 4:
                     self.tables.clear()
                 self.tables[chunk] = got
         return got
