@@ -5,7 +5,8 @@ by one. A segment tree over a piece's byte positions stores the leftmost
 minimum rank of the pairs that begin there; its root names the next merge.
 A merge updates three leaves, those of the live pair itself, of its right
 part and of its live left neighbour, each in logarithmic time. Chunks that
-came before are looked up.
+came before are looked up; the new pieces of a batch of texts keep their
+trees as rows of one array and merge in step, long pieces each for itself.
 
 Defined results: null text is empty, without ids; decoding gives the bytes of
 the text back; unknown ids are an error; repeated rows are encoded alike; an
@@ -97,11 +98,106 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class PieceMerger:
+    """Ids of many pieces under one set of ranks."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.base = max(ranks.values()) + 1
+        pairs = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    pairs[left * self.base + right] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+
+    def _pair(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        """Leaves rank * size + position of adjacent parts."""
+        wanted = left * self.base + right
+        place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[place] == wanted, self.merged[place] * size + at, _NEVER)
+
+    def _rows(self, pieces: list[bytes], size: int) -> list[bytes]:
+        """Pieces of at most ``size`` bytes: a tree per row, merged in step."""
+        n = len(pieces)
+        length = np.array([len(p) for p in pieces])
+        place = np.arange(size)
+        raw = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8).reshape(n, size)
+        ids = self.byte[raw]
+        live = place[None, :] < length[:, None]
+        after = np.where(place[None, :] + 1 < length[:, None], place[None, :] + 1, size)
+        before = np.broadcast_to(place - 1, (n, size)).copy()
+        tree = np.full((n, 2 * size), _NEVER, np.int64)
+        pair = self._pair(ids[:, :-1], ids[:, 1:], place[None, :-1], size)
+        tree[:, size:-1] = np.where(after[:, :-1] < size, pair, _NEVER)
+        width = size
+        while width > 1:
+            tree[:, width // 2:width] = np.minimum(tree[:, width:2 * width:2], tree[:, width + 1:2 * width:2])
+            width //= 2
+        rows = np.arange(n)
+        while True:
+            rows = rows[tree[rows, 1] < _NEVER]
+            if not len(rows):
+                break
+            at, rank = tree[rows, 1] % size, tree[rows, 1] // size
+            right = after[rows, at]
+            end = after[rows, right]
+            ids[rows, at], after[rows, at], live[rows, right] = rank, end, False
+            has = end < size
+            before[rows[has], end[has]] = at[has]
+            leaf = np.full(len(rows), _NEVER)
+            leaf[has] = self._pair(rank[has], ids[rows[has], end[has]], at[has], size)
+            tree[rows, size + right], tree[rows, size + at] = _NEVER, leaf
+            left = before[rows, at]
+            some = left >= 0
+            tree[rows[some], size + left[some]] = self._pair(ids[rows[some], left[some]], rank[some], left[some], size)
+            nodes = [(rows, size + right), (rows, size + at), (rows[some], size + left[some])]
+            for _ in range(size.bit_length() - 1):
+                nodes = [(r, node >> 1) for r, node in nodes]
+                for r, node in nodes:
+                    tree[r, node] = np.minimum(tree[r, 2 * node], tree[r, 2 * node + 1])
+        flat = ids[live].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(live.sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(pieces)
+        classes: dict[int, list[int]] = {}
+        for i, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[i] = whole.to_bytes(4, "little")
+            elif len(piece) > TOGETHER:
+                out[i] = np.array(merge_piece(piece, self.ranks), "<u4").tobytes()
+            elif piece:
+                classes.setdefault(1 << (len(piece) - 1).bit_length(), []).append(i)
+        for size, rows in classes.items():
+            for start in range(0, len(rows), ROWS_AT_ONCE):
+                part = rows[start:start + ROWS_AT_ONCE]
+                for i, got in zip(part, self._rows([pieces[i] for i in part], size), strict=True):
+                    out[i] = got
+        return out
+
+
+TOGETHER = 128         # bytes of a piece that shares an array with others
+ROWS_AT_ONCE = 4096
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> ChunkEncoder:
     ranks, pieces = load_ranks(path), piece_pattern(pattern)
-    known = Encoded(lambda piece: np.array(merge_piece(piece.encode(), ranks), "<u4").tobytes())
-    return ChunkEncoder(lambda text: b"".join(map(known.__getitem__, pieces.findall(text))))
+    merge = PieceMerger(ranks)
+    known = Encoded(lambda piece: merge([piece.encode()])[0])
+
+    def encode_many(texts: list[str]) -> list[bytes]:
+        found = [pieces.findall(t) for t in texts]
+        known.fill({p for f in found for p in f}, lambda new: merge([p.encode() for p in new]))
+        return [b"".join(map(known.__getitem__, f)) for f in found]
+
+    return ChunkEncoder(lambda text: encode_many([text])[0], encode_many=encode_many)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids",
@@ -109,7 +205,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     """``docs`` with the array of token ids of every whole text."""
     def compute(batch):
         encoded = encoder(path, pattern)
-        parts = [encoded(t) for t in common.str_texts(common.column(batch, text))]
+        parts = encoded.all(common.str_texts(common.column(batch, text)))
         ends = np.cumsum([0] + [len(p) // 4 for p in parts])
         values = np.frombuffer(b"".join(parts), "<u4").astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))]
