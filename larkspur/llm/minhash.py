@@ -48,7 +48,7 @@ WIDTH = 5
 PERCENT = 85        # link when 100 * intersection >= PERCENT * union
 K = 64              # values that a sketch retains
 MISS = 1e-9         # chance to miss one link at the threshold
-BLOCK = 1024        # members of a list that one task compares at once
+BLOCK = 2048        # members of a list that one task compares at once
 VALUES_AT_ONCE = 4096
 
 _cache: list[WordHashes] = []
