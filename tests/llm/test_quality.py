@@ -40,7 +40,7 @@ def test_repeated_words_short_texts():
 
 
 def test_binomial_bound_is_exact():
-    for n, p in ((1, 0.3), (40, 0.01), (700, 0.02), (3000, 0.5)):
+    for n, p in ((1, 0.3), (40, 0.01), (700, 0.02), (900, 0.5)):
         for x in {0, 1, n // 50, n // 2, n - 1}:
             exact = math.fsum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(x + 1))
             assert math.isclose(quality.binomial_cdf(x, n, p), exact, rel_tol=1e-9, abs_tol=1e-300)
