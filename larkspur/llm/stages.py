@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import common, minhash, packing, quality, queries, secret_scan, substring
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+NEAR_PERCENT = 80    # near copies in the corpus; the 85 of op2_minhash is of that query's contract alone
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: its smallest doc_id; repeated rows of
     that document are one."""
-    found = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    found = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("NOT kept").select("doc_id").distinct()
     left = docs.join(found, "doc_id", "left_anti")
     named = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     return _documents(named.union(left.where("doc_id IS NULL")))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm import packing, quality, stages
-from tests.llm.test_dedup import brute_components, edited, prose
+from tests.llm.test_dedup import brute_components, edited, prose, shingles
 from tests.llm.test_search import brute_spans
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -87,3 +87,26 @@ def test_empty_corpus(spark, folder, tmp_path):
     for table in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{table}.parquet").where(F.lit(False)).write.parquet(f"{tmp_path}/{table}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_links_from_80_percent(spark):
+    rng = random.Random(21)
+    texts = []
+    for n in (60, 105, 140, 200):
+        base = [f"b{rng.randrange(10 ** 6)}" for _ in range(n)]
+        for edits in range(8):                       # shares on both sides of 0.80 and of 0.85
+            words = list(base)
+            for at in rng.sample(range(5, n - 5), edits):
+                words[at] = f"e{rng.randrange(10 ** 6)}"
+            texts.append(" ".join(words))
+    sets = [shingles(t) for t in texts]
+    share = {(i, j): len(a & b) / len(a | b) for j, b in enumerate(sets) for i, a in enumerate(sets[:j])}
+    group = list(range(len(texts)))
+    for (i, j), s in sorted(share.items()):
+        if s >= 0.8:
+            low, high = sorted((group[i], group[j]))
+            group = [low if g == high else g for g in group]
+    assert sorted(set(group)) != [i for i, _, _, kept in brute_components(list(enumerate(texts))) if kept]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in stages.near_dedup(spark, docs, "").collect()) == sorted(set(group))
