@@ -1,15 +1,18 @@
-"""Substring dedup by content-defined chunks.
+"""Substring dedup by runs of words that begin at content-defined places.
 
 A gear hash rolls over the words of a text (h = 2 h + gear(word)); a chunk
 ends where the low bits of h are zero, so a cut depends only on the last few
 words and the cuts of a passage are the same wherever it stands, whatever was
-inserted before. Chunks have LEAST to MOST words. Spark keeps, for every chunk
-digest, the smallest doc_id that holds it; a chunk is repeated in all other
-documents. Consecutive repeated chunks of RUN words or more are a repeated
-passage and are removed: the first document keeps it.
+inserted before. Chunks have LEAST to MOST words. From the begin of each chunk
+(and RUN words before the end of the text) the next RUN words are a run, named
+by one digest of them in order. Spark keeps, for every digest, the smallest
+doc_id that holds the run; in all other documents the run is repeated and
+removed. So RUN words go only where one earlier document holds the same RUN
+words in a row, and the first document of a run keeps it. Repeated runs that
+touch are one passage; its runs may have different first documents.
 
-One 64-bit digest names a chunk: a passage goes only when several digests in
-a row are repeated, so a chance collision removes nothing.
+A chance collision of two 64-bit digests removes one run: about n / 2 ** 64
+for each of n runs.
 
 Defined results: null text stays null, an empty one empty; a document that is
 one repeated passage becomes empty but stays; repeated rows (one key, one
@@ -34,11 +37,12 @@ from .shingles import WordHashes, mix
 LEAST = 2        # words of a chunk at least,
 MOST = 12        # and at most
 MASK = 3         # a cut where the low bits of the gear hash are zero: one word in four
-RUN = 25         # words of consecutive repeated chunks that make a passage
+RUN = 25         # words in a row that make a passage
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(common.SPACE)] = True
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(256)], np.uint64)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _cache: list[WordHashes] = []
 
 
@@ -65,6 +69,13 @@ def cut_points(gear: np.ndarray, least: int = LEAST, most: int = MOST, mask: int
     return np.array(out, np.int64)
 
 
+def _word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and last byte (exclusive) of the words."""
+    space = _IS_SPACE[np.frombuffer(text, np.uint8)]
+    edge = np.diff(space.astype(np.int8), prepend=1, append=1)
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
 def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(digest, words, first byte, last byte exclusive) of the chunks."""
     words = text.split()
@@ -72,9 +83,7 @@ def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         none = np.empty(0, np.int64)
         return none, none, none, none
     gear = _words().of(words)
-    space = _IS_SPACE[np.frombuffer(text, np.uint8)]
-    edge = np.diff(space.astype(np.int8), prepend=1, append=1)
-    begins, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    begins, stops = _word_bounds(text)
     ends = cut_points(mix(gear))
     starts = np.concatenate([[0], ends[:-1]])
     place = np.arange(len(gear)) - np.repeat(starts, ends - starts)
@@ -82,11 +91,26 @@ def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return digest.view(np.int64), ends - starts, begins[starts], stops[ends - 1]
 
 
-CHUNK = T.StructType([T.StructField("doc", T.LongType()), T.StructField("digest", T.LongType())])
+def runs(text: bytes, width: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(digest, first word) of the runs of ``width`` words."""
+    words = text.split()
+    if len(words) < width:
+        none = np.empty(0, np.int64)
+        return none, none
+    gear = _words().of(words)
+    starts = np.concatenate([[0], cut_points(mix(gear))])
+    starts = np.append(starts[starts < len(gear) - width], len(gear) - width)
+    digest = np.zeros(len(starts), np.uint64)
+    for j in range(width):
+        digest = digest * _FACTOR + gear[starts + j]
+    return mix(digest).view(np.int64), starts
+
 
+HELD = T.StructType([T.StructField("doc", T.LongType()), T.StructField("digest", T.LongType())])
 
-def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, digest): one row for each distinct chunk of each text."""
+
+def run_table(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = RUN) -> DataFrame:
+    """(doc, digest): one row for each distinct run of each text."""
     source = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     schema = pa.schema([("doc", pa.int64()), ("digest", pa.int64())])
@@ -95,43 +119,39 @@ def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         for whole in batches:
             for at in range(0, whole.num_rows, common.BATCH_ROWS):
                 batch = whole.slice(at, common.BATCH_ROWS)
-                made = [np.unique(chunks(t)[0]) for t in common.byte_texts(common.column(batch, "text"))]
+                made = [np.unique(runs(t, width)[0]) for t in common.byte_texts(common.column(batch, "text"))]
                 rows = np.repeat(np.arange(len(made)), [len(m) for m in made])
                 yield pa.RecordBatch.from_arrays(
                     [common.column(batch, "doc").take(pa.array(rows)), pa.array(np.concatenate(made))], schema=schema)
 
-    return source.mapInArrow(run, CHUNK)
+    return source.mapInArrow(run, HELD)
 
 
-def repeated_chunks(table: DataFrame) -> DataFrame:
-    """_doc and, for its chunks that a smaller doc_id holds too, (_chunks) the
-    list of (digest, first)."""
+def repeated_runs(table: DataFrame) -> DataFrame:
+    """_doc and, for its runs that a smaller doc_id holds too, (_runs) the list
+    of (digest, first)."""
     firsts = (table.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
               .where("first < last").drop("last"))
     hits = table.join(firsts, "digest").where("doc > first")
-    return hits.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("digest", "first")).alias("_chunks"))
+    return hits.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("digest", "first")).alias("_runs"))
 
 
-def found_in(text: bytes, repeated: list[dict]) -> list[dict]:
-    """The repeated chunks of a text, in order."""
+def passages(text: bytes, repeated: list[dict], width: int) -> list[tuple[int, int, int, list[int]]]:
+    """(begin, stop, words, first documents) of the repeated runs, those that
+    touch as one."""
     first = {r["digest"]: r["first"] for r in repeated}
-    digest, words, begin, stop = (a.tolist() for a in chunks(text))
-    return [{"no": i, "words": words[i], "begin": begin[i], "stop": stop[i], "first": first[d]}
-            for i, d in enumerate(digest) if d in first]
-
-
-def passages(found: list[dict], least: int) -> list[tuple[int, int, int, list[int]]]:
-    """(begin, stop, words, first documents) of the runs of repeated chunks."""
-    out, run = [], []
-    for c in [*found, None]:
-        if run and (c is None or c["no"] != run[-1]["no"] + 1):
-            words = sum(r["words"] for r in run)
-            if words >= least:
-                out.append((run[0]["begin"], run[-1]["stop"], words, sorted({r["first"] for r in run})))
-            run = []
-        if c is not None:
-            run.append(c)
-    return out
+    joined: list[tuple[int, int, set[int]]] = []
+    for digest, start in zip(*(a.tolist() for a in runs(text, width)), strict=True):
+        if digest not in first:
+            continue
+        if joined and start <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], start + width, joined[-1][2] | {first[digest]})
+        else:
+            joined.append((start, start + width, {first[digest]}))
+    if not joined:
+        return []
+    begins, stops = _word_bounds(text)
+    return [(int(begins[a]), int(stops[b - 1]), b - a, sorted(docs)) for a, b, docs in joined]
 
 
 def cut(text: bytes, spans: list[tuple]) -> bytes:
@@ -154,17 +174,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run
     """``docs`` with repeated passages cut out of the text, and ``passages``:
     byte spans of the original text, their words and the documents that keep
     them."""
-    repeated = repeated_chunks(chunk_table(docs, key, text))  # chunking again is cheaper than moving spans
+    repeated = repeated_runs(run_table(docs, key, text, run_words))  # hashing again is cheaper than moving spans
     joined = docs.drop("passages").withColumn("_doc", F.col(key).cast("long")).join(repeated, "_doc", "left")
     added = T.StructType([docs.schema[text], *RESULT.fields])
 
     def compute(batch):
         texts, spans = [], []
         raw = common.column(batch, text).cast(pa.binary()).to_pylist()
-        for t, found in zip(raw, common.column(batch, "_chunks").to_pylist(), strict=True):
-            runs = passages(found_in(t, found), run_words) if found and t else []
-            texts.append(cut(t, runs).decode() if runs else None if t is None else t.decode())
-            spans.append([dict(zip(("begin", "stop", "words", "first_docs"), r, strict=True)) for r in runs])
+        for t, found in zip(raw, common.column(batch, "_runs").to_pylist(), strict=True):
+            cuts = passages(t, found, run_words) if found and t else []
+            texts.append(cut(t, cuts).decode() if cuts else None if t is None else t.decode())
+            spans.append([dict(zip(("begin", "stop", "words", "first_docs"), c, strict=True)) for c in cuts])
         return [texts, spans]
 
     out = common.with_columns(joined, added, compute, keep=docs.columns)

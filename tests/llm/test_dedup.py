@@ -142,3 +142,20 @@ def test_repeated_passages_are_cut(spark):
     assert by_id[7][0].text == by_id[7][1].text                       # repeated rows are one document
     assert len(by_id[503][0].text.split()) < 25
     assert substring.remove_repeats(docs.where("doc_id < 0")).count() == 0
+
+
+def test_only_runs_that_one_earlier_document_holds_are_cut(spark):
+    rng = random.Random(31)
+    fresh = lambda n: ["u%d" % rng.randrange(10 ** 9) for _ in range(n)]
+    phrases = [fresh(14) for _ in range(12)]                              # each stands in a document of its own
+    rows = [(i, " ".join(fresh(15) + p + fresh(15))) for i, p in enumerate(phrases)]
+    mosaic = " ".join(w for p in phrases for w in p)
+    rows += [(100, mosaic), (101, " ".join(fresh(9)) + " " + mosaic)]     # a passage made of them, and its copy
+    rows += [(200, " ".join(["the"] * 12)), (201, "the " * 40 + "end"), (202, " ".join(fresh(30)))]
+    got = {r.doc_id: r for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert [i for i in sorted(got) if got[i].passages] == [101]
+    assert all(got[i].text == texts[i] for i in texts if i != 101)
+    assert got[101].passages[0].first_docs == [100] and sum(p.words for p in got[101].passages) > 168 - 2 * substring.MOST
+    for p in got[101].passages:
+        assert texts[101].encode()[p.begin:p.stop].decode() in texts[100]
