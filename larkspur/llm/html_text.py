@@ -4,9 +4,12 @@ Every page is parsed into a tree; each element subtree has a hash of its tags,
 classes and text. Spark counts, per host, on how many pages each hash stands.
 Subtrees that recur on many pages of their host are deleted, as are elements
 whose tag, role or class says that they are no article text (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, comments). What
-is left of the article elements (of the body, where there are none) is the
-text: blocks in page order, one line each.
+footers, sidebars, notices, adverts, forms, scripts, styles, comments). A class,
+id or role says so by a whole token ("sidebar", "site-footer", not
+"no-sidebar"), which counts neither for a paragraph or heading inside an
+article nor for an element that holds most of the page's article text. What is
+left of the article elements, if it is half of all that is left or more, else of
+the body, is the text: blocks in page order, one line each.
 
 A subtree outside the article is a template if it is on OUTSIDE_SHARE of its
 host's pages, one inside the article only if it is on INSIDE_SHARE of them (a
@@ -25,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -55,16 +59,21 @@ adverts advertisement advertising banner promo promotion sponsor sponsored cooki
 popup modal overlay newsletter subscribe subscription signup social share sharing related recommended recommendations
 comment comments reply replies discussion disqus respond login search pagination pager toolbar complementary contentinfo
 dialog""".split())
+NEUTRAL_WORDS = frozenset("""site page main top bottom global primary secondary wrapper wrap container area box block
+list bar""".split())
+MASTHEAD_WORDS = NO_TEXT_WORDS | {"header", "masthead"}
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+IN_HEAD = frozenset("title meta link base style script noscript template".split())
 ROOTS = ("article", "main")
 _WORD = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "words", "parts")
+    __slots__ = ("tag", "words", "parts", "holds_root")
 
     def __init__(self, tag: str, words: str = ""):
-        self.tag, self.words, self.parts = tag, words, []
+        self.tag, self.words, self.parts, self.holds_root = tag, words, [], tag in ROOTS
 
 
 class TreeBuilder(HTMLParser):
@@ -84,8 +93,12 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_starttag(self, tag, attrs):
+        if tag == "body":       # the end tags of head and body may be left out
+            self._close({"head"})
         if tag in ("html", "body"):
             return
+        if self.open[-1].tag == "head" and tag not in IN_HEAD:
+            self.open.pop()
         if tag in ENDS_PARAGRAPH:
             self._close({"p"}, BLOCK - {"p"})
         if tag in SIBLINGS:
@@ -93,6 +106,11 @@ class TreeBuilder(HTMLParser):
         words = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role"))
         node = Node(tag, words)
         self.open[-1].parts.append(node)
+        if node.holds_root:
+            for above in reversed(self.open):
+                if above.holds_root:
+                    break
+                above.holds_root = True
         if tag not in VOID:
             self.open.append(node)
 
@@ -106,6 +124,8 @@ class TreeBuilder(HTMLParser):
             self._close({tag})
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and data.strip():
+            self.open.pop()
         self.open[-1].parts.append(data)
 
 
@@ -116,27 +136,60 @@ def parse(html: str) -> Node:
     return builder.root
 
 
+@lru_cache(1 << 14)
+def _says(token: str, words: frozenset[str]) -> bool:
+    """Whether all of a class, id or role token says that this is no text."""
+    parts = set(_WORD.findall(token))
+    return not parts.isdisjoint(words) and parts <= words | NEUTRAL_WORDS
+
+
 def is_boilerplate(node: Node, inside: bool) -> bool:
     if node.tag in NO_TEXT or node.tag == "header" and not inside:
         return True
-    if not node.words:
+    if not node.words or inside and node.tag in PROSE:
         return False
-    words = set(_WORD.findall(node.words))
-    return not words.isdisjoint(NO_TEXT_WORDS) or not inside and bool(words & {"header", "masthead"})
+    words = NO_TEXT_WORDS if inside else MASTHEAD_WORDS
+    return any(_says(token, words) for token in node.words.split())
+
+
+def root_texts(root: Node) -> dict[int, int]:
+    """id(node) -> characters of article text, for nodes that are or hold an
+    article or main element."""
+    out: dict[int, int] = {}
+    sums, stack = [0], [("in", root, False)]
+    while stack:
+        kind, item, inside = stack.pop()
+        if kind == "out":
+            out[id(item)] = sums.pop()
+            sums[-1] += out[id(item)]
+        elif isinstance(item, str):
+            sums[-1] += len(item.strip())
+        elif (inside or item.holds_root) and item.tag not in ("script", "style"):
+            below = inside or item.tag in ROOTS
+            if item.holds_root:
+                sums.append(0)
+                stack.append(("out", item, inside))
+            stack += [("in", p, below) for p in item.parts if below or not isinstance(p, str)]
+    return out
 
 
 def walk(root: Node) -> Iterator[tuple[str, object, bool]]:
     """("in", node, inside), ("text", string, inside), ("out", node, inside) in
     page order, without recursion; ``inside`` an article or main element.
-    Boilerplate is left out."""
+    Boilerplate is left out, but not what holds most of the article text."""
     stack: list[tuple[str, object, bool]] = [("in", root, False)]
+    held: dict[int, int] | None = None
     while stack:
         kind, item, inside = stack.pop()
         if kind != "in":
             yield kind, item, inside
             continue
         if is_boilerplate(item, inside):
-            continue
+            if not item.holds_root:
+                continue
+            held = root_texts(root) if held is None else held
+            if 2 * held.get(id(item), 0) <= held[id(root)]:
+                continue
         below = inside or item.tag in ROOTS
         yield "in", item, inside
         stack.append(("out", item, inside))
@@ -169,19 +222,19 @@ def main_text(html: str, templates: frozenset[tuple[int, bool]] = frozenset()) -
     """The text without the templates ((hash, inside) pairs)."""
     root = parse(html)
     hashes = subtree_hashes(root) if templates else {}
-    has_root = any(kind == "in" and item.tag in ROOTS for kind, item, _ in walk(root))
-    blocks, current, skipped = [], [], 0
+    blocks, current, skipped, was_inside = [], [], 0, False
 
     def close() -> None:
         text = _SPACES.sub(" ", "".join(current)).strip()
         current.clear()
         if text:
-            blocks.append(text)
+            blocks.append((text, was_inside))
 
     for kind, item, inside in walk(root):
         if kind == "text":
-            if not skipped and (inside or not has_root):
+            if not skipped:
                 current.append(item)
+                was_inside = inside
             continue
         if item.tag in BLOCK:
             close()
@@ -190,7 +243,9 @@ def main_text(html: str, templates: frozenset[tuple[int, bool]] = frozenset()) -
         if hashes.get(id(item)) in templates:
             skipped += 1 if kind == "in" else -1
     close()
-    return "\n".join(blocks)
+    of_roots = [t for t, within in blocks if within]
+    most = 2 * sum(map(len, of_roots)) >= sum(len(t) for t, _ in blocks)
+    return "\n".join(of_roots if of_roots and most else [t for t, _ in blocks])
 
 
 def page_subtrees(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -155,6 +155,22 @@ def test_main_text_of_one_page():
     assert html_text.main_text("<div>" * 3000 + "deep" + "</div>" * 10) == "deep"
 
 
+def test_ordinary_markup_keeps_the_article():
+    text = html_text.main_text
+    for body in ('<div class="no-sidebar"><p>body</div>', '<main class="has-sidebar"><p>body</main>',
+                 '<article id="comment-policy"><p>body</article>', '<div id="ad-free"><p>body</div>',
+                 '<article><p class="notice">body</article>', '<article><p class="related">body</article>',
+                 '<div class="sidebar"><main><p>body</main></div>', '<form><article><p>body</article></form>'):
+        assert text(f"<html><body>{body}") == "body"
+    assert text("<head><title>t</title><body><p>body") == text("<head><title>t</title><p>body") == "body"
+    assert text("<head><title>t</title>body") == "body"
+    card = "<article><p>teaser</article>"
+    assert text(f"<div><p>the main text of a page with a card</div>{card}") == "the main text of a page with a card\nteaser"
+    assert text(f"<article><p>the main text</article><div class='sidebar'>{card}</div>") == "the main text"
+    gone = ("sidebar", "site-footer", "cookie-notice", "x related", "comments")
+    assert all(text(f"<p>own</p><div class='{c}'>no text</div>") == "own" for c in gone)
+
+
 def test_site_templates_go(spark):
     box, promo = "<div class=b7><p>Welcome to our site</div>", "<div class=q1>More from us</div>"
     rows = [(i, f"http://a.example/{i}", f"<body>{box}<div><h2>H {i}</h2><p>text {i}</p></div>") for i in range(40)]
