@@ -22,11 +22,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: its smallest doc_id; repeated rows of
-    that document are one."""
+    """One document of each group stays: its smallest doc_id; of its rows
+    with one text one stays."""
     found = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("NOT kept").select("doc_id").distinct()
     left = docs.join(found, "doc_id", "left_anti")
-    named = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    named = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
     return _documents(named.union(left.where("doc_id IS NULL")))
 
 

@@ -110,3 +110,13 @@ def test_near_dedup_links_from_80_percent(spark):
     docs = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in enumerate(texts)],
                                  "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in stages.near_dedup(spark, docs, "").collect()) == sorted(set(group))
+
+
+def test_near_dedup_keeps_the_texts_of_one_id(spark):
+    rng = random.Random(22)
+    one, two, other = (prose(rng, 60) for _ in range(3))
+    rows = [(1, one), (1, two), (1, one), (2, other), (3, two)]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text) for r in stages.near_dedup(spark, docs, "").collect())
+    assert got == sorted([(1, one), (1, two), (2, other)])
