@@ -27,6 +27,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_TYPES = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
+          "string": T.StringType(), "binary": T.BinaryType(),
+          "array<int>": T.ArrayType(T.IntegerType()), "array<long>": T.ArrayType(T.LongType())}
+
+
+def schema(fields: str) -> T.StructType:
+    """A schema of ``name type`` pairs, without a session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split() for f in fields.split(","))])
+
+
 def with_columns(df: DataFrame, added: T.StructType, compute: Callable[[pa.RecordBatch], list],
                  keep: list[str] | None = None) -> DataFrame:
     """``df``'s columns (``keep`` of them) and the ``added`` ones that

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (ann, bpe, common, html_text, minhash, packing, quality, secret_scan, substring, token_counts,
-               url_filter)
+from . import (align, ann, bpe, common, html_text, licenses, minhash, packing, prefix_trie, quality, secret_scan,
+               substring, token_counts, url_filter)
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,26 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    aligned = align.align(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                          public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], digest=True)
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                          F.col("groups").alias("groups_sha256"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan(common.read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return scanned.drop("spans")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    nodes = prefix_trie.trie(common.read(spark, sf_dir, "conversations"), conv - conv % 100,
+                             F.crc32(conv.cast("string").cast("binary")) % 6)
+    return nodes.drop("digest")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
@@ -102,6 +122,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_text": op10_html_text,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_license_scan": op12_license_scan,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 def _url_sql() -> str:
@@ -144,7 +167,43 @@ ranked AS (
 SELECT * FROM ranked WHERE rank <= 5"""
 
 
+# crc32 by its bitwise definition; sequences and nodes as lists of (role, text).
+TRIE_SQL = """
+WITH own AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')}
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                                md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+held AS (
+  SELECT conv_id, s, conv_id - conv_id % 100 AS hub,
+    (xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, z: xor(x >> 1, (x & 1) * 3988292384)), 4294967295), 4294967295) % 6)::BIGINT AS h
+  FROM own),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.s[1:a.h], []), a.s[a.h + 1:]) AS s
+  FROM held a LEFT JOIN own b ON a.hub = b.conv_id),
+prefixes AS (
+  SELECT conv_id, s, d::BIGINT AS depth, s[1:d] AS p, len(s) = d AS ends
+  FROM rebuilt, unnest(range(0, len(s) + 1)) AS u(d)),
+nodes AS (
+  SELECT p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE length(p[depth].t) END AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY p, depth),
+kids AS (
+  SELECT k.p[1:k.depth - 1] AS p, count(*) AS n_children FROM nodes k WHERE k.depth > 0 GROUP BY 1),
+sums AS (
+  SELECT n.p[1:d] AS p, sum(n.saved) AS saved_tokens, count(*) FILTER (k.p IS NULL) AS n_leaves
+  FROM nodes n LEFT JOIN kids k ON k.p = n.p, unnest(range(0, n.depth + 1)) AS u(d) GROUP BY 1)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.p = n.p LEFT JOIN kids k ON k.p = n.p
+LEFT JOIN nodes up ON n.depth > 0 AND up.p = n.p[1:n.depth - 1]"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_nearest_neighbours": ANN_SQL,
     "op6_url_filter": _url_sql(),
+    "op13_prefix_trie": TRIE_SQL,
 }
