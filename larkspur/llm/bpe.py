@@ -17,6 +17,8 @@ result are replaced.
 from __future__ import annotations
 
 import base64
+import hashlib
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -46,6 +48,35 @@ def piece_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(spelled.replace(r"\s", f"[{WHITE_SPACE}]"))
 
 
+# Stand-ins of a letter, a number and neither, beyond ASCII.
+_LETTER, _NUMBER, _OTHER = "é", "٣", "€"
+
+
+@lru_cache(maxsize=4)
+def _kinds(pattern: str) -> dict[str, str]:
+    """Stand-in of each code point that the interpreter does not know, by what
+    the tokenizer library takes it for: under a vocabulary in which a letter (or
+    digit) merges with the byte after it, it does so within a piece only."""
+    import tiktoken
+    leads = range(0xC2, 0xF5)
+    ranks = {bytes([b]): b for b in range(256)}
+    for at, first in enumerate((b"x", b"1")):
+        ranks |= {first + bytes([b]): 256 + 64 * at + b - 0xC2 for b in leads}
+    probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    unknown = [c for c in map(chr, [*range(0x40000), *range(0xE0000, 0xF0000)]) if unicodedata.category(c) == "Cn"]
+    return {c: _LETTER if probe.encode_ordinary("x" + c)[0] > 255 else
+            _NUMBER if probe.encode_ordinary("1" + c)[0] > 255 else _OTHER for c in unknown}
+
+
+def split_pieces(text: str, pieces: regex.Pattern, pattern: str) -> list[str]:
+    """The matches of the pattern, as the tokenizer library sees its classes."""
+    if text.isascii() or not common.unassigned().search(text):
+        return pieces.findall(text)
+    kinds = _kinds(pattern)
+    known = common.unassigned().sub(lambda m: kinds.get(m[0], _OTHER), text)
+    return [text[m.start():m.end()] for m in pieces.finditer(known)]
+
+
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece."""
     whole = ranks.get(piece)
@@ -193,7 +224,7 @@ def encoder(path: str, pattern: str) -> ChunkEncoder:
     known = Encoded(lambda piece: merge([piece.encode()])[0])
 
     def encode_many(texts: list[str]) -> list[bytes]:
-        found = [pieces.findall(t) for t in texts]
+        found = [split_pieces(t, pieces, pattern) for t in texts]
         known.fill({p for f in found for p in f}, lambda new: merge([p.encode() for p in new]))
         return [b"".join(map(known.__getitem__, f)) for f in found]
 
@@ -225,3 +256,56 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
 @lru_cache(maxsize=4)
 def _tokens(path: str) -> dict[int, bytes]:
     return {rank: token for token, rank in load_ranks(path).items()}
+
+
+class ByteTable:
+    """Byte strings by number, end to end, to be gathered for whole arrays."""
+
+    def __init__(self, strings: dict[int, bytes]):
+        top = max(strings) + 1
+        sizes = np.zeros(top, np.int64)
+        for i, t in strings.items():
+            sizes[i] = len(t)
+        self.ends = np.cumsum(sizes)
+        self.starts, self.sizes = self.ends - sizes, sizes
+        self.flat = np.frombuffer(b"".join(strings.get(i, b"") for i in range(top)), np.uint8)
+
+    def gather(self, numbers: np.ndarray) -> bytes:
+        return self.placed(numbers)[0]
+
+    def placed(self, numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The strings end to end, and where each ends."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[numbers] - ends + sizes, sizes)
+        return self.flat[at].tobytes(), ends
+
+
+@lru_cache(maxsize=4)
+def _tables(path: str) -> tuple[ByteTable, ByteTable]:
+    tokens = _tokens(path)
+    return ByteTable(tokens), ByteTable({i: b",%d" % i for i in tokens})
+
+
+GATHER = 1 << 18    # ids that are turned into bytes in one step
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with n_tokens, the SHA-256 of the decimal ids joined by commas
+    (ids_sha256) and of the bytes that the ids decode to (decoded_sha256):
+    encoded and decoded in one pass, without moving the ids."""
+    def compute(batch):
+        encoded, (tokens, decimals) = encoder(path, pattern), _tables(path)
+        rows = []
+        for part in encoded.all(common.str_texts(common.column(batch, text))):
+            ids = np.frombuffer(part, "<u4")
+            listed, decoded = hashlib.sha256(), hashlib.sha256()
+            for start in range(0, len(ids), GATHER):
+                step = ids[start:start + GATHER]
+                written = decimals.gather(step)
+                listed.update(written if start else written[1:])
+                decoded.update(tokens.gather(step))
+            rows.append((len(ids), listed.hexdigest(), decoded.hexdigest()))
+        return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
+
+    return common.with_columns(docs, common.schema("n_tokens long, ids_sha256 string, decoded_sha256 string"), compute, keep)

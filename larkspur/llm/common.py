@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +25,48 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder of ``spark.checkpoint.dir`` and
-    read it back: later passes start from files that survive lost executors."""
+    read it back: later passes start from files that survive lost executors.
+    Inside :func:`staging` the table goes when that ends."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.staged_path = path
+    if _open:
+        _open[-1].append(back)
+    return back
+
+
+_open: list[list[DataFrame]] = []
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete a staged table after its last read."""
+    jvm = staged.sparkSession._jvm
+    place = jvm.org.apache.hadoop.fs.Path(staged.staged_path)
+    place.getFileSystem(staged.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+@contextmanager
+def staging() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that are staged inside are deleted at the end, except those that
+    are staged with the yielded function: they hold the result."""
+    tables: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _open.append(tables)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        kept.append(stage(df, name))
+        return kept[-1]
+
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        for table in tables:
+            if not any(table is k for k in kept):
+                discard(table)
+        if _open:
+            _open[-1].extend(kept)
 
 
 _TYPES = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
@@ -69,6 +111,17 @@ def arrow_types(schema: T.StructType) -> list[pa.DataType]:
     return [to_arrow_type(f.dataType) for f in schema.fields]
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """Code points that the interpreter's Unicode tables do not know. Tables of
+    the tokenizer libraries may be newer, so texts that hold one are looked at
+    through the library."""
+    unknown = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    ends = [i for i, c in enumerate(unknown) if i + 1 == len(unknown) or unknown[i + 1] != c + 1]
+    starts = [0] + [i + 1 for i in ends[:-1]]
+    return re.compile("[" + "".join(f"\\U{unknown[a]:08x}-\\U{unknown[b]:08x}" for a, b in zip(starts, ends, strict=True)) + "]")
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null reads as empty."""
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]

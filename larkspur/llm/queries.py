@@ -40,10 +40,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"]), ranks)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                          common.sha_hex(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
-                          F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

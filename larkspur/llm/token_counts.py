@@ -33,6 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from . import common
 from .bpe import WHITE_SPACE
@@ -60,6 +61,7 @@ class WordTable:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pieces = regex.compile(split.replace(r"\s", WHITE_SPACE))
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        self.library = Tokenizer.from_file(path)
         letters = {b: c for c, b in byte_alphabet().items()}
         self.letters = [letters[b] for b in range(256)]
         self.valid: dict[tuple[str, str], bool] = {}
@@ -148,15 +150,23 @@ class WordTable:
         return counts
 
     def normalised(self, text: str) -> str:
+        if not text.isascii() and common.unassigned().search(text):
+            return self.library.normalizer.normalize_str(text)
         text = unicodedata.normalize("NFC", text)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()  # a final sigma has no context here
 
+    def split(self, inner: str) -> list[str]:
+        """Pieces of a normalised run without white space."""
+        if not inner.isascii() and common.unassigned().search(inner):
+            return [inner[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(inner)]
+        return self.pieces.findall(inner)
+
     def chunk_counts(self, chunk: str) -> list[int]:
         """Tokens of every prefix of a normalised run without white space."""
         got = self.tables.get(chunk)
         if got is None:
             got = [0]
-            for piece in self.pieces.findall(chunk):
+            for piece in self.split(chunk):
                 before = got[-1]
                 got += [before + c for c in self.piece_counts(piece)[1:]]
             if len(chunk) <= 64:
@@ -168,7 +178,7 @@ class WordTable:
     def total(self, chunk: str) -> int:
         got = self.totals.get(chunk)
         if got is None:
-            got = sum(map(self.piece_total, self.pieces.findall(self.normalised(chunk))))
+            got = sum(map(self.piece_total, self.split(self.normalised(chunk))))
             if len(chunk) <= 64:
                 if len(self.totals) >= 2 * CACHE_LIMIT:
                     self.totals.clear()

@@ -134,3 +134,40 @@ def test_pack_keeps_every_id(spark):
             end += length
         assert end <= 2048 and whole[s].length == end and bytes(whole[s].ids) == b"".join(p[2] for p in sorted(parts))
     assert packing.pack(pieces.where("piece < 0")).count() == 0
+
+
+def test_round_trip_digests(spark):
+    import hashlib
+    rows = [(i, t) for i, t in enumerate(odd_texts(60))] + [(None, None), (1, "again")]
+    ranks = bpe.load_ranks(MULTI)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, n_tokens string")
+    got = bpe.round_trip(docs, MULTI, public_tokenizers.PATTERN).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        ids = library.encode_ordinary(r.text or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def code_points():
+    """Every code point that a text can hold, a few in one text, in three surroundings."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    plain = [c for c in points if ord(c) < 0x20000]
+    return ["".join(plain[i:i + 16]) for i in range(0, len(plain), 16)] + [f"a{c}b {c}" for c in plain[:0x3000]] + \
+        [f"x{c} {c}'s" for c in plain if 0xA000 <= ord(c) < 0xAC00]
+
+
+def test_every_code_point():
+    texts = code_points()
+    byte = packing.byte_level_encoder(BYTE)
+    library = Tokenizer.from_file(BYTE)
+    for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(byte(t), "<u4").tolist() == e.ids, ascii(t)
+    multi = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(MULTI), special_tokens={})
+    encode = bpe.encoder(MULTI, public_tokenizers.PATTERN)
+    for t, got in zip(texts, encode.all(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == multi.encode_ordinary(t), ascii(t)
+    words, table = Tokenizer.from_file(WORD), token_counts.word_table(WORD)
+    for t, e in zip(texts, words.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert table.count(t) == len(e.ids), ascii(t)
