@@ -36,6 +36,8 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +47,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .bpe import ByteTable
 from .packing import byte_alphabet
 
 BLOCK_LINKS = 2_000_000
-CACHE_LIMIT = 300_000   # chunks, and windows, that one worker keeps; emptied when full
+CACHE_LIMIT = 500_000   # chunks, and windows, that one worker keeps; emptied when full
 LONGEST_KEPT = 64       # code points of a chunk, ids of a window that are kept
+TOGETHER = 2_000        # chunks that are encoded as one text
 _SPACE = "▁"
 # Where both tokenizers start a token. Python's \s holds every white space of A's pattern.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -96,75 +100,211 @@ class TokenizerB:
 
 
 class Windows:
-    """Alignments of windows by their id tuples. Pairs are numbered here."""
-
-    def __init__(self, size_a: np.ndarray, size_b: np.ndarray):
-        self.size_a, self.size_b = size_a, size_b
+    """Alignments of windows by their id tuples: for each window its groups as
+    text, their number, and its links as numbers of id pairs. Windows that are
+    new in a step are aligned together."""
+
+    def __init__(self, a: dict[int, bytes], b: dict[int, bytes]):
+        self.size_a, self.space_a = _tables(a)
+        self.size_b, self.space_b = _tables(b)
+        self.of_b = 3 * len(self.size_a)
+        # decimal ids behind what separates them: none, the last group's end, the last id's end; in B, A's end
+        written = {n * len(self.size_a) + i: b"%s%d" % (sep, i) for n, sep in enumerate((b"", b";", b",")) for i in a}
+        written |= {self.of_b + n * len(self.size_b) + i: b"%s%d" % (sep, i) for n, sep in enumerate((b"|", b",")) for i in b}
+        self.written = ByteTable(written)
+        self.bound_pairs(0)
+
+    def bound_pairs(self, limit: int | None = None) -> None:
+        """Between two blocks, which refer to pairs by their numbers."""
+        if limit is None and len(self.pairs) <= 3 * CACHE_LIMIT:
+            return
         self.pair_no: dict[int, int] = {}
         self.pairs: list[int] = []          # pair number -> a << 32 | b
         self.clear()
 
-    def bound_pairs(self) -> None:
-        """Between two blocks, which refer to pairs by their numbers."""
-        if len(self.pairs) > 3 * CACHE_LIMIT:
-            self.pair_no, self.pairs = {}, []
-            self.clear()
-
     def clear(self) -> None:
         self.known: dict[tuple[bytes, bytes], int] = {}
-        self.groups: list[str] = []
-        self.n_groups: list[int] = []
-        self.links: list[list[int]] = []    # window number -> pair numbers, with repeats
-
-    def add(self, key: tuple[bytes, bytes]) -> int:
-        a, b = np.frombuffer(key[0], "<u4").tolist(), np.frombuffer(key[1], "<u4").tolist()
-        groups, links, i, j = [], [], 0, 0
-        first_a, first_b, end_a, end_b = 0, 0, int(self.size_a[a[0]]), int(self.size_b[b[0]])
-        while True:
-            pair = a[i] << 32 | b[j]
+        self.groups: list[bytes] = []
+        self.n_groups = np.zeros(0, np.int64)
+        self.links = np.zeros(0, np.int32)  # pair numbers, window after window
+        self.ends = np.zeros(0, np.int64)   # where the links of each window end
+        self.kept, self.cleared = 0, True
+
+    def trim(self) -> bool:
+        """Before a step: drop the long windows of the step before, or all if
+        they are too many. Whether numbers from before are void."""
+        if self.kept > CACHE_LIMIT:
+            self.clear()
+        elif self.kept < len(self.groups):
+            del self.groups[self.kept:]
+            self.n_groups, self.ends = self.n_groups[:self.kept], self.ends[:self.kept]
+            self.links = self.links[:self.ends[-1] if self.kept else 0]
+        void, self.cleared = self.cleared, False
+        return void
+
+    def numbers(self, keys: list[tuple[bytes, bytes]]) -> np.ndarray:
+        """The number of each window; those from ``kept`` on hold for this step."""
+        known = self.known
+        got = list(map(known.get, keys))
+        missing = [i for i, n in enumerate(got) if n is None]
+        if missing:
+            new, most = dict.fromkeys([keys[i] for i in missing]), 4 * LONGEST_KEPT
+            short = [k for k in new if len(k[0]) <= most and len(k[1]) <= most]
+            first = len(self.groups)
+            known.update(zip(short, range(first, first + len(short)), strict=True))
+            self.kept += len(short)
+            if len(short) < len(new):       # long ones last
+                short += new.keys() - known.keys()
+            self._add(short)
+            added = dict(zip(short, range(first, first + len(short)), strict=True))
+            for i in missing:
+                got[i] = added[keys[i]]
+        return np.array(got, np.int64)
+
+    def _add(self, keys: list[tuple[bytes, bytes]]) -> None:
+        """Align the windows: tokens overlap between any two neighbouring ends."""
+        a, b = (np.frombuffer(b"".join([k[side] for k in keys]), "<u4").astype(np.int64) for side in (0, 1))
+        stop_a, stop_b = (np.cumsum([len(k[side]) // 4 for k in keys]) for side in (0, 1))
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        ends = np.union1d(ends_a, ends_b)
+        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        distinct, place = np.unique(a[at_a] << 32 | b[at_b], return_inverse=True)
+        numbers = []
+        for pair in distinct.tolist():
             number = self.pair_no.get(pair)
             if number is None:
                 number = self.pair_no[pair] = len(self.pairs)
                 self.pairs.append(pair)
-            links.append(number)
-            a_ends, b_ends = end_a <= end_b, end_b <= end_a
-            i, j = i + a_ends, j + b_ends
-            if a_ends and b_ends:
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                first_a, first_b = i, j
-                if i == len(a):
-                    break
-            if a_ends:
-                end_a += int(self.size_a[a[i]])
-            if b_ends:
-                end_b += int(self.size_b[b[j]])
-        number = len(self.links)
-        self.groups.append(";".join(groups))
-        self.n_groups.append(len(groups))
-        self.links.append(links)
-        if len(a) <= LONGEST_KEPT and len(b) <= LONGEST_KEPT:
-            self.known[key] = number
-        return number
+            numbers.append(number)
+        offsets = ends_a[stop_a - 1]                       # where the windows end
+        before = len(self.links)
+        self.links = np.concatenate([self.links, np.array(numbers, np.int32)[place]])
+        self.ends = np.concatenate([self.ends, before + np.searchsorted(ends, offsets, "right")])
+        # groups: cut at the shared ends; in each the ids of A, then those of B
+        shared = ends[(ends_a[at_a] == ends) & (ends_b[at_b] == ends)]
+        self.n_groups = np.concatenate([self.n_groups, np.diff(np.searchsorted(shared, offsets, "right"), prepend=0)])
+        group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        first_a = np.diff(group_a, prepend=-1) > 0
+        separator = np.where(first_a, 1, 2)
+        separator[np.concatenate([[0], stop_a[:-1]])] = 0
+        text = np.empty(len(a) + len(b), np.int64)
+        text[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = separator * len(self.size_a) + a
+        text[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = (
+            self.of_b + np.where(np.diff(group_b, prepend=-1) > 0, 0, 1) * len(self.size_b) + b)
+        raw, written = self.written.placed(text)
+        cuts = [0, *written[stop_a + stop_b - 1].tolist()]
+        self.groups += [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def links_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair numbers of the windows' links, where each window's end)."""
+        ends = self.ends[numbers]
+        sizes = ends - np.where(numbers > 0, self.ends[numbers - 1], 0)
+        upto = np.cumsum(sizes)
+        at = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(ends - upto, sizes)
+        return self.links[at], upto
+
+
+class Tokens(NamedTuple):
+    """The ids of some documents, end to end; chunk numbers with their ids'
+    counts; where the ids of each document end."""
+    a: np.ndarray
+    b: np.ndarray
+    chunks: np.ndarray
+    size_a: np.ndarray
+    size_b: np.ndarray
+    ends_a: np.ndarray
+    ends_b: np.ndarray
+
+
+class Ragged:
+    """Rows of numbers, end to end."""
+
+    def __init__(self):
+        self.values, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def append(self, values: list[np.ndarray], sizes: np.ndarray) -> None:
+        before = len(self.values)
+        self.values = np.concatenate([self.values, *values])
+        self.ends = np.concatenate([self.ends, before + np.cumsum(sizes, dtype=np.int64)])
+
+    def cut(self, rows: int) -> None:
+        self.ends = self.ends[:rows]
+        self.values = self.values[:self.ends[-1] if rows else 0]
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values of the rows, their sizes)"""
+        ends = self.ends[rows]
+        sizes = ends - np.where(rows > 0, self.ends[rows - 1], 0)
+        upto = np.cumsum(sizes)
+        at = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(ends - upto, sizes)
+        return self.values[at], sizes
 
 
 class Aligner:
-    """Both tokenizers, what was encoded, and the windows of one worker."""
+    """Both tokenizers, the chunks that were encoded, and the windows of one
+    worker. A chunk that is one window knows the window's number."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = TokenizerA(path_a), TokenizerB(path_b)
-        self.size_a, self.space_a = _tables(self.a.bytes)
-        self.size_b, self.space_b = _tables(self.b.bytes)
-        self.windows = Windows(self.size_a, self.size_b)
-        self.chunks: dict[str, tuple[bytes, bytes, bool]] = {}
-
-    def _encoded(self, chunks: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        """(A ids, B ids, whether both give the chunk's bytes) of each."""
-        out = []
-        for chunk, a, b in zip(chunks, self.a.encode(chunks), self.b.encode(chunks), strict=True):
-            raw = b" " + chunk.encode()
-            same = b"".join(map(self.a.bytes.get, a)) == raw == b"".join(map(self.b.bytes.get, b))
-            out.append((np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes(), same))
-        return out
+        self.windows = Windows(self.a.bytes, self.b.bytes)
+        self.entry_a, self.entry_b = ByteTable(self.a.bytes), ByteTable(self.b.bytes)
+        self.forget()
+
+    def forget(self) -> None:
+        self.chunk_no: dict[str, int] = {}
+        self.ids_a, self.ids_b = Ragged(), Ragged()
+        self.odd = np.zeros(0, bool)               # chunks whose tokens do not give their bytes
+        self.window_of = np.zeros(0, np.int64)     # window number, or -1
+
+    def _trim(self) -> None:
+        n = len(self.chunk_no)
+        if n > CACHE_LIMIT:
+            self.forget()
+        else:                                      # the long chunks of the step before
+            self.ids_a.cut(n)
+            self.ids_b.cut(n)
+            self.odd, self.window_of = self.odd[:n], self.window_of[:n]
+        if self.windows.trim():
+            self.window_of[:] = -1
+
+    def _learn(self, chunks: list[str]) -> dict[str, int]:
+        """Encode chunks, many in one text: a cut between two of them is one in
+        the tokens as well, which their ends confirm. Long ones come last and
+        hold for this step. Returns the numbers of all."""
+        joint = [c for c in chunks if len(c) <= LONGEST_KEPT and c.strip() == c] if self.b.cuts_at_spaces else []
+        others = set(chunks).difference(joint) if len(joint) < len(chunks) else ()
+        alone = sorted(others, key=lambda c: len(c) > LONGEST_KEPT)
+        for part in [joint[i:i + TOGETHER] for i in range(0, len(joint), TOGETHER)] + [[c] for c in alone]:
+            if not self._encode(part):
+                for c in part:
+                    self._encode([c], forced=True)
+        first = len(self.chunk_no)
+        numbers = dict(zip(joint + alone, range(first, first + len(chunks)), strict=True))
+        self.chunk_no.update(numbers)
+        for c in alone:
+            if len(c) > LONGEST_KEPT:
+                del self.chunk_no[c]
+        return numbers
+
+    def _encode(self, part: list[str], forced: bool = False) -> bool:
+        text = " ".join(part)
+        raw = (" " + text).encode()
+        ends = np.cumsum([len(c) for c in map(str.encode, part)]) + np.arange(1, len(part) + 1)
+        made, same = [], True
+        for tokenizer, entry in ((self.a, self.entry_a), (self.b, self.entry_b)):
+            ids = np.array(tokenizer.encode([text])[0], np.uint32)
+            written, stops = entry.placed(ids)
+            at = np.searchsorted(stops, ends)
+            if written != raw or at[-1] >= len(stops) or (stops[at] != ends).any():
+                if not forced:
+                    return False
+                same, at = same and written == raw, np.array([len(ids) - 1])
+            made.append((ids, np.diff(at + 1, prepend=0)))
+        for store, (ids, sizes) in zip((self.ids_a, self.ids_b), made, strict=True):
+            store.append([ids], sizes)
+        self.odd = np.append(self.odd, np.full(len(part), not same))
+        self.window_of = np.append(self.window_of, np.full(len(part), -1))
+        return True
 
     def split(self, text: str) -> list[str]:
         if not self.b.cuts_at_spaces:
@@ -173,56 +313,69 @@ class Aligner:
             return _CUT.split(text)
         return text.split(" ")
 
-    def tokenise(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """(A ids, B ids) of each whole text, empty where it has no tokens."""
+    def tokenise(self, texts: list[str]) -> Tokens:
+        """The whole texts' tokens; a text whose tokens do not give its bytes has none."""
+        self._trim()
         split = [self.split(t) if t else [] for t in texts]
-        new = list({c for chunks in split for c in chunks} - self.chunks.keys())
-        fresh = dict(zip(new, self._encoded(new), strict=True))
-        short = {c: e for c, e in fresh.items() if len(c) <= LONGEST_KEPT}
-        if len(self.chunks) + len(short) > CACHE_LIMIT:
-            fresh |= {c: self.chunks[c] for chunks in split for c in chunks if c in self.chunks}
-            self.chunks = {}
-        self.chunks.update(short)
-        out = []
-        for text, chunks in zip(texts, split, strict=True):
-            got = [self.chunks.get(c) or fresh[c] for c in chunks]
-            a, b = b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
-            if not all([g[2] for g in got]) and not self._whole(text, a, b):
-                a = b = b""
-            out.append((a, b))
-        return out
-
-    def _whole(self, text: str, a: bytes, b: bytes) -> bool:
-        raw = b" " + text.encode()
-        return all(b"".join(map(table.get, np.frombuffer(ids, "<u4").tolist())) == raw
-                   for table, ids in ((self.a.bytes, a), (self.b.bytes, b)))
-
-    def align(self, tokens: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, list[int]]:
+        chunks = list(chain.from_iterable(split))
+        got = list(map(self.chunk_no.get, chunks))
+        missing = [i for i, n in enumerate(got) if n is None]
+        if missing:
+            numbers = self._learn(list({chunks[i] for i in missing}))
+            for i in missing:
+                got[i] = numbers[chunks[i]]
+        numbers, ends = np.array(got, np.int64), np.cumsum([len(c) for c in split])
+        odd = self.odd[numbers]
+        if odd.any():
+            keep = np.ones(len(numbers), bool)
+            for doc in np.unique(np.searchsorted(ends, np.flatnonzero(odd), "right")).tolist():
+                start, stop = ends[doc] - len(split[doc]), ends[doc]
+                raw = b" " + texts[doc].encode()
+                if any(entry.gather(ids.of(numbers[start:stop])[0]) != raw
+                       for entry, ids in ((self.entry_a, self.ids_a), (self.entry_b, self.ids_b))):
+                    keep[start:stop] = False
+            numbers, ends = numbers[keep], np.cumsum(np.concatenate([[0], keep]))[ends]
+        a, size_a = self.ids_a.of(numbers)
+        b, size_b = self.ids_b.of(numbers)
+        doc_ends = [np.concatenate([[0], np.cumsum(size)])[ends] for size in (size_a, size_b)]
+        return Tokens(a, b, numbers, size_a, size_b, *doc_ends)
+
+    def align(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """(window numbers, end of each document's windows among them)."""
-        if len(self.windows.links) > CACHE_LIMIT:
-            self.windows.clear()
-        raw_a, raw_b = b"".join([a for a, _ in tokens]), b"".join([b for _, b in tokens])
-        a, b = np.frombuffer(raw_a, "<u4"), np.frombuffer(raw_b, "<u4")
+        a, b = tokens.a, tokens.b
         if not len(a):
-            return np.zeros(0, np.int64), [0] * len(tokens)
-        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+            return np.zeros(0, np.int64), np.zeros(len(tokens.ends_a), np.int64)
+        windows = self.windows
+        ends_a, ends_b = np.cumsum(windows.size_a[a]), np.cumsum(windows.size_b[b])
         # every document's tokens give the same bytes in A and B, so offsets run on over documents
         at_b = np.searchsorted(ends_b, ends_a)
         at_a = np.flatnonzero(ends_b[at_b] == ends_a)
         at_b = at_b[at_a]
-        next_a = np.append(self.space_a[a[1:]], True)[at_a]
-        next_b = np.append(self.space_b[b[1:]], True)[at_b]
-        anchor = next_a & next_b
-        cut_a, cut_b = (4 * (at_a[anchor] + 1)).tolist(), (4 * (at_b[anchor] + 1)).tolist()
-        known, add = self.windows.known.get, self.windows.add
-        numbers, i, j = [], 0, 0
-        for i2, j2 in zip(cut_a, cut_b, strict=True):
-            key = (raw_a[i:i2], raw_b[j:j2])
-            number = known(key)
-            numbers.append(add(key) if number is None else number)
-            i, j = i2, j2
-        doc_ends = np.cumsum([len(a) for a, _ in tokens])
-        return np.array(numbers), np.searchsorted(np.array(cut_a), doc_ends, "right").tolist()
+        anchor = np.append(windows.space_a[a[1:]], True)[at_a] & np.append(windows.space_b[b[1:]], True)[at_b]
+        cut_a, cut_b = at_a[anchor] + 1, at_b[anchor] + 1
+        from_a, from_b = np.append(0, cut_a[:-1]), np.append(0, cut_b[:-1])
+        # windows that are a whole chunk
+        chunk_a, chunk_b = np.cumsum(tokens.size_a), np.cumsum(tokens.size_b)
+        of = np.searchsorted(chunk_a, cut_a)
+        whole = ((chunk_a[of] == cut_a) & (chunk_b[of] == cut_b)
+                 & (chunk_a[of] - tokens.size_a[of] == from_a) & (chunk_b[of] - tokens.size_b[of] == from_b))
+        chunk = np.where(whole, tokens.chunks[of], -1)
+        numbers = np.where(whole, self.window_of[chunk], -1)
+        unknown = np.flatnonzero(numbers < 0)
+        if len(unknown):
+            by_chunk, first = np.unique(chunk[unknown], return_index=True)
+            first, by_chunk = first[by_chunk >= 0], by_chunk[by_chunk >= 0]
+            asked = np.concatenate([unknown[first], unknown[chunk[unknown] < 0]])
+            raw_a, raw_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
+            keys = [(raw_a[i:j], raw_b[k:m]) for i, j, k, m in zip(*[
+                (4 * v[asked]).tolist() for v in (from_a, cut_a, from_b, cut_b)], strict=True)]
+            found = windows.numbers(keys)
+            numbers[asked] = found
+            self.window_of[by_chunk] = found[:len(by_chunk)]
+            numbers = np.where(whole, self.window_of[chunk], numbers)
+            # numbers of long windows hold for this step only
+            self.window_of[by_chunk[found[:len(by_chunk)] >= windows.kept]] = -1
+        return numbers, np.searchsorted(cut_a, tokens.ends_a, "right")
 
 
 def _tables(entry: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -251,13 +404,18 @@ class _Block:
         self.pairs: list[tuple[np.ndarray, np.ndarray]] = []     # (pair numbers, times)
         self.links = 0
 
-    def add(self, windows: Windows, a: bytes, b: bytes, numbers: list[int], digest: bool) -> None:
-        links = [p for n in numbers for p in windows.links[n]]
-        groups = ";".join([windows.groups[n] for n in numbers])
-        if digest:
-            groups = hashlib.sha256(groups.encode()).hexdigest() if numbers else ""
-        self.docs.append((len(a) // 4, len(b) // 4, sum([windows.n_groups[n] for n in numbers]), len(links), groups))
-        self.pairs.append(np.unique(np.array(links, np.int32), return_counts=True))
+    def add(self, windows: Windows, tokens: Tokens, numbers: np.ndarray, ends: np.ndarray, digest: bool) -> None:
+        links, upto = windows.links_of(numbers)
+        upto = np.append(0, upto)
+        text, n_groups = windows.groups, np.append(0, np.cumsum(windows.n_groups[numbers]))
+        numbers, starts = numbers.tolist(), np.append(0, ends[:-1])
+        columns = [np.diff(tokens.ends_a, prepend=0), np.diff(tokens.ends_b, prepend=0), n_groups[ends] - n_groups[starts],
+                   starts, ends, upto[starts], upto[ends]]
+        for n_a, n_b, n, start, end, first, stop in zip(*[c.tolist() for c in columns], strict=True):
+            groups = b";".join([text[i] for i in numbers[start:end]])
+            groups = groups.decode() if not digest else hashlib.sha256(groups).hexdigest() if n else ""
+            self.docs.append((n_a, n_b, n, stop - first, groups))
+            self.pairs.append(np.unique(links[first:stop], return_counts=True))
         self.links += len(links)
 
     def out(self, number: int, pairs: list[int], schema: pa.Schema) -> list[pa.RecordBatch]:
@@ -312,8 +470,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, text: str, keep: list[str]
                 numbers, ends = work.align(tokens)
                 # the partition number stands in for a table without kept columns
                 block.rows.append(batch.select([*names, "__part"]))
-                for (a, b), start, end in zip(tokens, [0, *ends], ends, strict=False):
-                    block.add(work.windows, a, b, numbers[start:end].tolist(), digest)
+                block.add(work.windows, tokens, numbers, ends, digest)
                 if block.links >= BLOCK_LINKS:
                     yield from block.out(part << 32 | made, work.windows.pairs, schema)
                     block, made = _Block(), made + 1

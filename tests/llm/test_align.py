@@ -89,15 +89,22 @@ def test_against_the_libraries(spark, monkeypatch):
 
 def test_caches_are_bounded(monkeypatch):
     monkeypatch.setattr(align, "CACHE_LIMIT", 40)
-    work, plain = align.Aligner(A, B), align.Aligner(A, B)
+    monkeypatch.setattr(align, "LONGEST_KEPT", 3)
+    work = align.Aligner(A, B)
     for t in texts():
-        got = work.tokenise([t or ""])
-        assert got == plain.tokenise([t or ""])
+        fresh = align.Aligner(A, B) if t in ("same", "a ▁b", " ") else None
+        got = work.tokenise([t or "", "again"])
         numbers, ends = work.align(got)
-        assert ends == [len(numbers)]
-        groups = ";".join(work.windows.groups[n] for n in numbers)
-        assert groups.count("|") == sum(work.windows.n_groups[n] for n in numbers)
-        work.windows.bound_pairs()
+        assert ends[-1] == len(numbers) and got.ends_a[-1] == len(got.a) and got.ends_b[-1] == len(got.b)
+        windows = work.windows
+        groups = b";".join(windows.groups[n] for n in numbers)
+        assert groups.count(b"|") == windows.n_groups[numbers].sum()
+        links, upto = windows.links_of(numbers)
+        assert len(links) == upto[-1] == len(got.a) + len(got.b) - windows.n_groups[numbers].sum()
+        if fresh:
+            assert fresh.tokenise([t or "", "again"]).a.tolist() == got.a.tolist()
+        assert len(windows.known) <= 40 + len(numbers) and len(work.chunk_no) <= 40 + len(numbers)
+        windows.bound_pairs()
 
 
 def test_query_on_a_folder(spark, tmp_path):
