@@ -1,24 +1,28 @@
-"""Substring dedup by runs of words that begin at content-defined places.
+"""Substring dedup by chains of content-defined chunks.
 
 A gear hash rolls over the words of a text (h = 2 h + gear(word)); a chunk
 ends where the low bits of h are zero, so a cut depends only on the last few
-words and the cuts of a passage are the same wherever it stands, whatever was
-inserted before. Chunks have LEAST to MOST words. From the begin of each chunk
-(and RUN words before the end of the text) the next RUN words are a run, named
-by one digest of them in order. Spark keeps, for every digest, the smallest
-doc_id that holds the run; in all other documents the run is repeated and
-removed. So RUN words go only where one earlier document holds the same RUN
-words in a row, and the first document of a run keeps it. Repeated runs that
-touch are one passage; its runs may have different first documents.
-
-A chance collision of two 64-bit digests removes one run: about n / 2 ** 64
-for each of n runs.
+words and the chunks of a passage are the same wherever it stands, whatever was
+inserted before. Chunks have LEAST to MOST words and a digest each.
+
+From each chunk on, the chunks that follow until CHAIN words are reached are a
+chain, named by one digest of its chunk digests in order; one more chain ends
+with the text. Spark keeps, for every chain, the smallest doc_id that holds it;
+in all other documents its chunks are repeated and removed. So chunks go only
+where one earlier document holds the same chunks in a row, CHAIN words or more,
+and the first document of a chain keeps them. Repeated chains that touch are one
+passage; its chains may have different first documents.
+
+A chance collision of two 64-bit digests removes one chain: about n / 2 ** 64
+for each of n chains.
 
 Defined results: null text stays null, an empty one empty; a document that is
 one repeated passage becomes empty but stays; repeated rows (one key, one
 text) count as one document and stay alike, as do rows with one key and
 different texts; a null key takes no part; passages repeated
-only within a document stay; other columns pass through.
+only within a document stay; of documents that tie nothing is asked but the
+smaller doc_id; an empty table gives no rows; other columns pass through. A very
+long text is chunked in one task, in arrays of a few numbers a word.
 """
 
 from __future__ import annotations
@@ -37,12 +41,13 @@ from .shingles import WordHashes, mix
 LEAST = 2        # words of a chunk at least,
 MOST = 12        # and at most
 MASK = 3         # a cut where the low bits of the gear hash are zero: one word in four
-RUN = 25         # words in a row that make a passage
+CHAIN = 25       # words at least of chunks in a row that make a passage
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(common.SPACE)] = True
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(256)], np.uint64)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _cache: list[WordHashes] = []
 
 
@@ -91,26 +96,33 @@ def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return digest.view(np.int64), ends - starts, begins[starts], stops[ends - 1]
 
 
-def runs(text: bytes, width: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """(digest, first word) of the runs of ``width`` words."""
-    words = text.split()
-    if len(words) < width:
+def chains(text: bytes, width: int = CHAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, first word, word after the last) of the chains of chunks."""
+    digest, words, *_ = chunks(text)
+    ends = np.cumsum(words)
+    if not len(ends) or ends[-1] < width:
         none = np.empty(0, np.int64)
-        return none, none
-    gear = _words().of(words)
-    starts = np.concatenate([[0], cut_points(mix(gear))])
-    starts = np.append(starts[starts < len(gear) - width], len(gear) - width)
-    digest = np.zeros(len(starts), np.uint64)
-    for j in range(width):
-        digest = digest * _FACTOR + gear[starts + j]
-    return mix(digest).view(np.int64), starts
+        return none, none, none
+    starts = ends - words
+    first = np.flatnonzero(starts + width <= ends[-1])
+    last = np.searchsorted(ends, starts[first] + width)
+    first, last = np.append(first, first[-1]), np.append(last, len(ends) - 1)   # the last one ends with the text
+    # sum of digest * FACTOR ** (place in the chain), from sums over the text
+    steps = np.full(len(ends), _FACTOR)
+    steps[0] = 1
+    power = np.cumprod(steps)
+    steps[1:] = _INVERSE
+    inverse = np.cumprod(steps)
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digest.view(np.uint64) * power)])
+    value = (upto[last + 1] - upto[first]) * inverse[first]
+    return mix(value + (last - first).astype(np.uint64)).view(np.int64), starts[first], ends[last]
 
 
 HELD = T.StructType([T.StructField("doc", T.LongType()), T.StructField("digest", T.LongType())])
 
 
-def run_table(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = RUN) -> DataFrame:
-    """(doc, digest): one row for each distinct run of each text."""
+def chain_table(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = CHAIN) -> DataFrame:
+    """(doc, digest): one row for each distinct chain of each text."""
     source = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     schema = pa.schema([("doc", pa.int64()), ("digest", pa.int64())])
@@ -119,7 +131,7 @@ def run_table(docs: DataFrame, key: str = "doc_id", text: str = "text", width: i
         for whole in batches:
             for at in range(0, whole.num_rows, common.BATCH_ROWS):
                 batch = whole.slice(at, common.BATCH_ROWS)
-                made = [np.unique(runs(t, width)[0]) for t in common.byte_texts(common.column(batch, "text"))]
+                made = [np.unique(chains(t, width)[0]) for t in common.byte_texts(common.column(batch, "text"))]
                 rows = np.repeat(np.arange(len(made)), [len(m) for m in made])
                 yield pa.RecordBatch.from_arrays(
                     [common.column(batch, "doc").take(pa.array(rows)), pa.array(np.concatenate(made))], schema=schema)
@@ -127,27 +139,27 @@ def run_table(docs: DataFrame, key: str = "doc_id", text: str = "text", width: i
     return source.mapInArrow(run, HELD)
 
 
-def repeated_runs(table: DataFrame) -> DataFrame:
-    """_doc and, for its runs that a smaller doc_id holds too, (_runs) the list
-    of (digest, first)."""
+def repeated_chains(table: DataFrame) -> DataFrame:
+    """_doc and, for its chains that a smaller doc_id holds too, (_chains) the
+    list of (digest, first)."""
     firsts = (table.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
               .where("first < last").drop("last"))
     hits = table.join(firsts, "digest").where("doc > first")
-    return hits.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("digest", "first")).alias("_runs"))
+    return hits.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("digest", "first")).alias("_chains"))
 
 
 def passages(text: bytes, repeated: list[dict], width: int) -> list[tuple[int, int, int, list[int]]]:
-    """(begin, stop, words, first documents) of the repeated runs, those that
+    """(begin, stop, words, first documents) of the repeated chains, those that
     touch as one."""
     first = {r["digest"]: r["first"] for r in repeated}
     joined: list[tuple[int, int, set[int]]] = []
-    for digest, start in zip(*(a.tolist() for a in runs(text, width)), strict=True):
+    for digest, start, stop in zip(*(a.tolist() for a in chains(text, width)), strict=True):
         if digest not in first:
             continue
         if joined and start <= joined[-1][1]:
-            joined[-1] = (joined[-1][0], start + width, joined[-1][2] | {first[digest]})
+            joined[-1] = (joined[-1][0], max(stop, joined[-1][1]), joined[-1][2] | {first[digest]})
         else:
-            joined.append((start, start + width, {first[digest]}))
+            joined.append((start, stop, {first[digest]}))
     if not joined:
         return []
     begins, stops = _word_bounds(text)
@@ -170,19 +182,19 @@ RESULT = T.StructType([
         T.StructField("words", T.IntegerType()), T.StructField("first_docs", T.ArrayType(T.LongType()))])))])
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", chain_words: int = CHAIN) -> DataFrame:
     """``docs`` with repeated passages cut out of the text, and ``passages``:
     byte spans of the original text, their words and the documents that keep
     them."""
-    repeated = repeated_runs(run_table(docs, key, text, run_words))  # hashing again is cheaper than moving spans
+    repeated = repeated_chains(chain_table(docs, key, text, chain_words))  # hashing again is cheaper than moving spans
     joined = docs.drop("passages").withColumn("_doc", F.col(key).cast("long")).join(repeated, "_doc", "left")
     added = T.StructType([docs.schema[text], *RESULT.fields])
 
     def compute(batch):
         texts, spans = [], []
         raw = common.column(batch, text).cast(pa.binary()).to_pylist()
-        for t, found in zip(raw, common.column(batch, "_runs").to_pylist(), strict=True):
-            cuts = passages(t, found, run_words) if found and t else []
+        for t, found in zip(raw, common.column(batch, "_chains").to_pylist(), strict=True):
+            cuts = passages(t, found, chain_words) if found and t else []
             texts.append(cut(t, cuts).decode() if cuts else None if t is None else t.decode())
             spans.append([dict(zip(("begin", "stop", "words", "first_docs"), c, strict=True)) for c in cuts])
         return [texts, spans]
