@@ -18,9 +18,11 @@ host has at most 1 / OUTSIDE_SHARE times as many templates as a page has
 subtrees, which bounds the list that meets each page.
 
 Defined results: null or empty html gives the empty text; a page without a
-host loses no templates; repeated rows count as pages each; unclosed and cut
-off markup is closed at the end; other columns pass through, those named like
-a result are replaced.
+host loses no templates; repeated rows count as pages each; elements that are
+not closed end with the page, a tag or comment that is cut off is dropped, any
+other broken markup is a comment or text; an empty table gives no rows; the time
+for a page is linear in its length, however broken; other columns pass through,
+those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,34 +78,133 @@ class Node:
         self.tag, self.words, self.parts, self.holds_root = tag, words, [], tag in ROOTS
 
 
-class TreeBuilder(HTMLParser):
-    """A tree of nodes; ``parts`` are texts and child nodes in order."""
+# -- scanning: every character is looked at a bounded number of times, nothing raises
+
+_GAP = re.compile(r"[ \t\n\f\r/]*")
+_NAME = re.compile(r"[^ \t\n\f\r/>]+")
+_ATTRIBUTE = re.compile(r"=?[^ \t\n\f\r/>=]*")
+_EQUALS = re.compile(r"[ \t\n\f\r]*=[ \t\n\f\r]*")
+_BARE = re.compile(r"[^ \t\n\f\r>]*")
+# elements whose content is no markup; in the first two, character references count
+_RAW_END = {t: re.compile(f"</{t}(?=[ \\t\\n\\f\\r/>])", re.IGNORECASE)
+            for t in ("title", "textarea", "script", "style", "xmp", "iframe", "noembed", "noframes")}
+
+
+def _tag(html: str, at: int) -> tuple[str, list[tuple[str, str]], bool, int] | None:
+    """(name, attributes, closed by a slash, place after it) of the tag whose
+    name begins at ``at``; None if it is cut off."""
+    found = _NAME.match(html, at)
+    name, at, attributes = found[0].lower(), found.end(), []
+    while True:
+        gap = _GAP.match(html, at)
+        at = gap.end()
+        if at >= len(html):
+            return None
+        if html[at] == ">":
+            return name, attributes, gap[0].endswith("/"), at + 1
+        found = _ATTRIBUTE.match(html, at)
+        key, value, at = found[0].lower(), "", found.end()
+        equals = _EQUALS.match(html, at)
+        if equals:
+            at = equals.end()
+            quote = html[at:at + 1]
+            if quote in ("'", '"'):
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    return None
+                value, at = html[at + 1:end], end + 1
+            else:
+                found = _BARE.match(html, at)
+                value, at = found[0], found.end()
+        attributes.append((key, value))
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, list[tuple[str, str]], bool]]:
+    """("text", characters, [], False), ("start", name, attributes, closed by a
+    slash) and ("end", name, [], False). Comments, declarations and tags that
+    are cut off at the end of the page give nothing."""
+    at, n, text = 0, len(html), []
+
+    def run() -> Iterator[tuple]:
+        if text:
+            yield "text", unescape("".join(text)), [], False
+            text.clear()
+
+    while at < n:
+        open_at = html.find("<", at)
+        if open_at < 0:
+            text.append(html[at:])
+            break
+        text.append(html[at:open_at])
+        follows = html[open_at + 1:open_at + 2]
+        end_tag = follows == "/"
+        letter = html[open_at + 2:open_at + 3] if end_tag else follows
+        if letter.isascii() and letter.isalpha():
+            yield from run()
+            got = _tag(html, open_at + 1 + end_tag)
+            if got is None:
+                return
+            name, attributes, slash, at = got
+            if end_tag:
+                yield "end", name, [], False
+                continue
+            yield "start", name, attributes, slash
+            if name in _RAW_END:
+                end = _RAW_END[name].search(html, at)
+                stop = end.start() if end else n
+                inside = html[at:stop]
+                yield "text", unescape(inside) if name in ("title", "textarea") else inside, [], False
+                at = stop
+        elif follows in ("!", "?") or end_tag and letter:
+            comment = html.startswith("!--", open_at + 1)
+            end = html.find("-->", open_at + 2) if comment else html.find(">", open_at + 2)
+            if end < 0:
+                break
+            at = end + (3 if comment else 1)
+        else:
+            text.append("<")
+            at = open_at + 1
+    yield from run()
+
+
+class TreeBuilder:
+    """A tree of nodes; ``parts`` are texts and child nodes in order. ``places``
+    knows where each tag is open, so that closing needs no search."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}
+
+    def _push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def _cut(self, at: int) -> None:
+        while len(self.open) > at:
+            self.places[self.open.pop().tag].pop()
+
+    def _last(self, tags) -> int:
+        return max([p[-1] for t in tags if (p := self.places.get(t))], default=0)
 
     def _close(self, tags, stop=frozenset()) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag in tags:
-                del self.open[at:]
-                return
-            if self.open[at].tag in stop:
-                return
+        """Close the innermost open one of ``tags``, unless it lies outside one of ``stop``."""
+        at = self._last(tags)
+        if at and at > self._last(stop):
+            self._cut(at)
 
-    def handle_starttag(self, tag, attrs):
+    def start(self, tag: str, attributes: list[tuple[str, str]], slash: bool) -> None:
         if tag == "body":       # the end tags of head and body may be left out
             self._close({"head"})
         if tag in ("html", "body"):
             return
         if self.open[-1].tag == "head" and tag not in IN_HEAD:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         if tag in ENDS_PARAGRAPH:
-            self._close({"p"}, BLOCK - {"p"})
+            self._close(("p",), BLOCK - {"p"})
         if tag in SIBLINGS:
             self._close(*SIBLINGS[tag])
-        words = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role"))
+        words = " ".join(unescape(v).lower() for k, v in attributes if v and k in ("class", "id", "role"))
         node = Node(tag, words)
         self.open[-1].parts.append(node)
         if node.holds_root:
@@ -111,28 +212,28 @@ class TreeBuilder(HTMLParser):
                 if above.holds_root:
                     break
                 above.holds_root = True
-        if tag not in VOID:
-            self.open.append(node)
+        if tag not in VOID and not slash:
+            self._push(node)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open[-1].tag == tag:
-            self.open.pop()
-
-    def handle_endtag(self, tag):
+    def end(self, tag: str) -> None:
         if tag not in ("html", "body"):
-            self._close({tag})
+            self._close((tag,))
 
-    def handle_data(self, data):
+    def text(self, data: str) -> None:
         if self.open[-1].tag == "head" and data.strip():
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         self.open[-1].parts.append(data)
 
 
 def parse(html: str) -> Node:
     builder = TreeBuilder()
-    builder.feed(html)
-    builder.close()
+    for kind, name, attributes, slash in tokens(html):
+        if kind == "text":
+            builder.text(name)
+        elif kind == "start":
+            builder.start(name, attributes, slash)
+        else:
+            builder.end(name)
     return builder.root
 
 

@@ -195,3 +195,16 @@ def test_given_pages(spark, sf_small):
         article = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"</?b>|<br>", "", b)).split()) for b in re.split(r"</?(?:h1|p)>", article)]
         assert r.body == "\n".join(b for b in blocks if b)
+
+
+def test_broken_markup_is_linear_and_never_raises():
+    import time
+    from larkspur.llm.html_text import main_text
+    assert main_text("<p>one</p><![foo[x]]><p>two</p>") == "one\ntwo"
+    assert main_text("<![ bar>") == "" and main_text("a < b &amp; c &lt;d") == "a < b & c <d"
+    assert main_text("<p>a<!-->b<p>c<script>if (a<b) {}</script>d<textarea>e</textarea>") == "ab\ncd"
+    for text in ("<a " * 350_000, "<!-- " * 200_000, "<b>" * 50_000 + "<hr>" * 50_000, "<div>" * 50_000 + "</x>" * 50_000,
+                 "</" * 300_000, "<p class='" * 100_000, "<li>" * 100_000, "&amp" * 200_000):
+        began = time.process_time()
+        main_text(text)
+        assert time.process_time() - began < 5, text[:20]
