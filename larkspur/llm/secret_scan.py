@@ -158,24 +158,44 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str = "doc_id", te
 SPAN = "array<struct<start: int, kind_no: int, end: int, kind: string>>"
 
 
+STEP = 256     # matches whose places are added up in one go
+
+
+def _places(sizes: Column) -> Column:
+    """(begin of each step's match, end) from structs (g: gap before, m: match).
+    Running sums inside parts of STEP matches and over the parts: an array that
+    grows by one entry at a time is copied each time, so none grows long."""
+    def running(items: Column, start: Column, size) -> Column:
+        def add(state: Column, x: Column) -> Column:
+            return F.struct((state["at"] + size(x)).alias("at"), F.concat(state["upto"], F.array(state["at"])).alias("upto"))
+
+        return F.aggregate(items, F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("upto")), add)["upto"]
+
+    zero = F.lit(0).cast("long")
+    count = F.ceil(F.size(sizes) / STEP).cast("int")
+    parts = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))),
+                                          lambda i: F.slice(sizes, i * STEP + 1, F.lit(STEP))))
+    parts = F.coalesce(parts, F.array().cast("array<array<struct<g: bigint, m: bigint, t: bigint>>>"))
+    totals = F.transform(parts, lambda p: F.aggregate(p, zero, lambda n, x: n + x["g"] + x["m"]))
+    starts = running(totals, zero, lambda n: n)
+    return F.flatten(F.zip_with(parts, starts, lambda p, s: F.zip_with(
+        p, running(p, s, lambda x: x["g"] + x["m"]),
+        lambda x, at: F.struct((at + x["g"]).alias("begin"), (at + x["g"] + x["m"]).alias("stop"), x["t"].alias("t")))))
+
+
 def _spans(rule: Rule, no: int, text: Column) -> Column:
     """All spans of one rule in a whole text."""
     pattern = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     tested = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
     gaps = F.split(text, rule.pattern, -1)
-    steps = F.zip_with(F.arrays_zip(found.alias("m"), tested.alias("t")), gaps, lambda mt, g: F.struct(
-        F.length(mt["m"]).alias("m"), F.length(mt["t"]).alias("t"), F.length(g).alias("g")))
-
-    def add(state: Column, step: Column) -> Column:
-        start = state["at"] + step["g"]
-        end = start + F.coalesce(step["m"], F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(no).alias("kind_no"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(step["t"] >= rule.least, F.concat(state["spans"], F.array(span)))
-                        .otherwise(state["spans"]).alias("spans"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    return F.aggregate(steps, start, add)["spans"]
+    sizes = F.zip_with(F.arrays_zip(found.alias("m"), tested.alias("t")), gaps, lambda mt, g: F.struct(
+        F.length(g).cast("long").alias("g"), F.coalesce(F.length(mt["m"]), F.lit(0)).cast("long").alias("m"),
+        F.length(mt["t"]).cast("long").alias("t")))
+    kept = F.filter(_places(sizes), lambda s: s["t"] >= rule.least)
+    return F.transform(kept, lambda s: F.struct(
+        s["begin"].cast("int").alias("start"), F.lit(no).alias("kind_no"), s["stop"].cast("int").alias("end"),
+        F.lit(rule.kind).alias("kind")))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:

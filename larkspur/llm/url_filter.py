@@ -80,18 +80,17 @@ def bloom_filter(rules: DataFrame) -> tuple[Column, int]:
     return F.from_json(F.lit(json.dumps(words)), "array<bigint>"), blocks
 
 
-def _suffixes(host: Column) -> Column:
-    """The host and all domains above it."""
-    labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)),
-                       lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def _suffixes(host: Column, depths: list[int]) -> Column:
+    """The domains above the host, and the host, that have as many labels as
+    some rule: a few, however many labels the host has."""
+    return F.array_distinct(F.array(*[F.substring_index(host, ".", -d) for d in depths]))
 
 
-def possible_keys(host: Column, path: Column, lengths: list[int], bloom: Column, blocks: int) -> Column:
+def possible_keys(host: Column, path: Column, lengths: list[int], depths: list[int], bloom: Column, blocks: int) -> Column:
     """Structs (host, path) of the keys that pass the filter."""
     prefixes = F.array_distinct(F.array_compact(F.array(*[
         F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths])))
-    keys = F.flatten(F.transform(_suffixes(host), lambda h: F.transform(prefixes, lambda p: F.struct(
+    keys = F.flatten(F.transform(_suffixes(host, depths), lambda h: F.transform(prefixes, lambda p: F.struct(
         h.alias("host"), p.alias("path")))))
 
     def passes(k: Column) -> Column:
@@ -110,6 +109,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     named = pages.drop(*[c for c in added if c != url]).withColumns({"_host": host, "_path": path})
     best = (rules.dropna().groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict")))  # block > allow
     lengths = sorted(r["n"] for r in best.select(F.length("rule_path").alias("n")).distinct().collect())
+    depths = sorted(r["n"] for r in best.select(F.size(F.split("rule_host", r"\.", -1)).alias("n")).distinct().collect())
     if not lengths:
         found = named.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(DEFAULT)})
     else:
@@ -118,7 +118,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
         pairs = named.where("_host != ''").select("_host", "_path").distinct()
         # explode_outer: for explode the optimizer would evaluate the keys once more, as a filter
         possible = pairs.select("_host", "_path", F.explode_outer(possible_keys(
-            F.col("_host"), F.col("_path"), lengths, bloom, blocks)).alias("k")).where("k IS NOT NULL")
+            F.col("_host"), F.col("_path"), lengths, depths, bloom, blocks)).alias("k")).where("k IS NOT NULL")
         hits = possible.join(best, (F.col("k.host") == F.col("rule_host")) & (F.col("k.path") == F.col("rule_path")))
         winner = F.max(F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"),
                                 F.length("rule_host").alias("h"), "rule_host", "rule_path", "verdict"))
