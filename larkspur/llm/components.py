@@ -39,6 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(
             F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x != y")
+        before = edges
         edges = common.stage(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "cc-links")
+        common.discard(before)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(
         edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -232,6 +232,12 @@ def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
     """(a, b) links between classes that connect all that are connected: every
     further link lies inside a component. ``classes``: cls, digest, rep (the
     key of a document with that text), n_shingles, sketch."""
+    with common.staging() as keep:
+        return keep(_links(docs, classes, key, text, width, k, percent, block), "minhash-all-links")
+
+
+def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, width: int, k: int, percent: int,
+           block: int) -> DataFrame:
     lists = common.stage(list_members(classes, k, percent), "minhash-lists")
     hubs = (lists.groupBy("value").agg(F.max_by("cls", F.struct("shared", -F.col("cls"))).alias("hub"),
                                        F.count("*").alias("members")).where("members > 1"))
@@ -267,7 +273,7 @@ def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
 
     tiles = _tiles(todo, block)
     rest = tiles.join(sets, "cls").groupBy("value", "kind", "low", "high").applyInPandas(compare, "a long, b long")
-    return common.stage(first.union(rest.distinct()), "minhash-all-links")
+    return first.union(rest.distinct())
 
 
 def _tiles(members: DataFrame, block: int) -> DataFrame:
@@ -303,6 +309,11 @@ def _tiles(members: DataFrame, block: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, k: int = K,
                     percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """key, n_shingles, component_id and kept for every row of ``docs``."""
+    with common.staging() as keep:
+        return keep(_near_duplicates(docs, key, text, width, k, percent, block), "minhash-result")
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str, width: int, k: int, percent: int, block: int) -> DataFrame:
     signed = common.stage(signatures(docs, key, text, width, k), "minhash-signatures")
     named = signed.where(F.col(key).isNotNull() & F.col("digest").isNotNull())
     classes = (named.groupBy("digest").agg(F.min(key).cast("long").alias("rep"), F.first("n_shingles").alias("n_shingles"),

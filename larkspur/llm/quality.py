@@ -222,8 +222,11 @@ def judge(features: DataFrame, labels: DataFrame, key: str = "doc_id", stratum:
           risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """``features`` (from :func:`add_features`, staged by the caller) with
     base_failed, failed_rules (names) and kept."""
-    cuts = (fit_cutoffs(features, labels, key, stratum, risk, delta)
-            .groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cuts")))
+    return apply_cutoffs(features, fit_cutoffs(features, labels, key, stratum, risk, delta), stratum)
+
+
+def apply_cutoffs(features: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
+    cuts = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cuts"))
     named = features.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
     joined = named.join(cuts.withColumnRenamed("stratum", "_stratum"), "_stratum", "left").drop("_stratum")
     failed = F.array_compact(F.array(*[F.when(bucket(r) > F.col("_cuts")[r], F.lit(r)) for r in RULES]))
@@ -231,7 +234,10 @@ def judge(features: DataFrame, labels: DataFrame, key: str = "doc_id", stratum:
             .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_cuts"))
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The kept rows of ``docs``, with its columns."""
-    judged = judge(common.stage(add_features(docs, text), "quality-features"), labels, **options)
-    return judged.where("kept").select(*docs.columns)
+def filter_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang",
+                     risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The kept rows of ``docs``, with its columns. The features of labelled
+    documents fit the cutoffs; no text is written before the kept rows are."""
+    graded = docs.join(labels.select(key).distinct(), key, "left_semi")
+    cutoffs = fit_cutoffs(add_features(graded, text, [key, stratum]), labels, key, stratum, risk, delta)
+    return apply_cutoffs(add_features(docs, text), cutoffs, stratum).where("kept").select(*docs.columns)

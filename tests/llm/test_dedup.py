@@ -30,7 +30,7 @@ def shingles(text, width=5):
     return frozenset(tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1)))
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     """{doc_id: (n_shingles, component, kept)} by comparing all pairs."""
     ids = sorted({i for i, _ in rows if i is not None})
     sets = [(i, shingles(t)) for i, t in rows if i is not None]
@@ -43,7 +43,7 @@ def brute_components(rows):
 
     for n, (i, a) in enumerate(sets):
         for j, b in sets[:n]:
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     return [(i, len(s), find(i), find(i) == i) for i, s in sets]
@@ -159,3 +159,50 @@ def test_only_runs_that_one_earlier_document_holds_are_cut(spark):
     assert got[101].passages[0].first_docs == [100] and sum(p.words for p in got[101].passages) > 168 - 2 * substring.MOST
     for p in got[101].passages:
         assert texts[101].encode()[p.begin:p.stop].decode() in texts[100]
+
+
+def brute_passages(rows, width):
+    """{doc_id: [(begin, stop, words, first_docs)]} by comparing tuples of words."""
+    held, cuts = {}, {}
+    for i, t in rows:
+        words = (t or "").encode().split()
+        digest, sizes, *_ = substring.chunks((t or "").encode())
+        ends = np.cumsum(sizes).tolist()
+        starts = [0, *ends[:-1]]
+        places = []
+        for a, s in enumerate(starts):
+            if s + width <= len(words):
+                b = next(b for b in range(a, len(ends)) if ends[b] >= s + width)
+                places.append((a, b))
+        if places:
+            places.append((places[-1][0], len(ends) - 1))
+        cuts[i] = [(tuple(tuple(words[starts[k]:ends[k]]) for k in range(a, b + 1)), starts[a], ends[b]) for a, b in places]
+        for chain, *_ in cuts[i]:
+            held[chain] = min(held.get(chain, i), i)
+    out = {}
+    for i, _ in rows:
+        found = []
+        for chain, s, e in cuts[i]:
+            if held[chain] < i:
+                if found and s <= found[-1][1]:
+                    found[-1] = (found[-1][0], max(e, found[-1][1]), found[-1][2] | {held[chain]})
+                else:
+                    found.append((s, e, {held[chain]}))
+        out[i] = [(s, e - s, sorted(d)) for s, e, d in found]
+    return out
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(17)
+    vocabulary = [f"w{i}" for i in range(400)]
+    pool = [" ".join(rng.choices(vocabulary, k=rng.randint(10, 90))) for _ in range(12)]
+    rows = [(i, " ".join(x for _ in range(rng.randint(0, 4)) for x in (
+        " ".join(rng.choices(vocabulary, k=rng.randint(0, 30))), rng.choice(pool)))) for i in range(120)]
+    rows += [(200, rows[5][1]), (201, "x " * 5000), (202, "x " * 4000), (203, "\n".join(pool))]
+    want = brute_passages(rows, substring.CHAIN)
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    for r in got:
+        begins = [len(texts[r.doc_id].encode()[:p.begin].split()) for p in r.passages]
+        assert [(b, p.words, list(p.first_docs)) for b, p in zip(begins, r.passages)] == want[r.doc_id], r.doc_id
+    assert sum(map(len, want.values())) > 50

@@ -55,7 +55,7 @@ def test_stages(spark, folder):
     assert {(r.doc_id, r.text) for r in after} == base
     before, after, _ = dedup
     named = [(r.doc_id, r.text) for r in before if r.doc_id is not None]
-    keep = {i for i, _, _, kept in brute_components(named) if kept}
+    keep = {i for i, _, _, kept in brute_components(named, stages.NEAR_PERCENT) if kept}
     assert sorted(r.doc_id for r in after if r.doc_id is not None) == sorted(keep)
     before, after, _ = cut
     assert len(before) == len(after)
