@@ -22,6 +22,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.stage(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    with common.staging() as keep:
+        for name, stage in STAGES[:-1]:
+            docs = common.stage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        name, stage = STAGES[-1]
+        return keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
