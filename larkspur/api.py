@@ -43,7 +43,11 @@ class DataLoader:
     def __init__(self, spark: SparkSession, config: Config | None = None):
         self.spark, self.config = spark, config or Config()
 
-    def load_data(self, schema=None) -> DataFrame:
+    def load_data(self, schema=None, fallback=None) -> DataFrame:
+        """The configured file; ``fallback`` (a function that gives a table)
+        serves where the file is absent."""
+        if fallback is not None:
+            return files.read_csv_or(self.spark, self.config.raw_data_path, fallback, schema)
         return files.read_csv(self.spark, self.config.raw_data_path, schema)
 
     def profile_data(self, df: DataFrame) -> dict:
@@ -146,6 +150,17 @@ class ModelTrainer:
     def load_model(self, filepath=None):
         return md.load_model(filepath or self.config.model_path)
 
+    def load_or_train(self, df, filepath=None):
+        """The saved model where there is one, else that of a resumable run
+        beside its path (``<path>.run``), which is saved there."""
+        from .plans.train_run import train_run
+        path = filepath or self.config.model_path
+        if files.path_exists(df.sparkSession, path):
+            return md.load_model(path)
+        run = train_run(df, f"{path}.run", self.config.roles, self.config.models, self.config.key, folds=self.config.cv_splits)
+        md.save_model(run.model, path)
+        return run.model
+
     def main(self, df):
         from .plans.training import train_end_to_end
         return train_end_to_end(df, self.config.roles, self.config.models, self.config.key, self.config.model_path)
@@ -186,11 +201,13 @@ class HousePricePredictor:
 
     def __init__(self, spark: SparkSession, model_path: str | None = None, model=None):
         self.spark = spark
-        self.model = model if model is not None else (md.load_model(model_path) if model_path else None)
+        from .plans.stages import aligned
+        found = model if model is not None else (md.load_model(model_path) if model_path else None)
+        self.model = aligned(found) if found is not None else None
 
     def _require(self):
         if self.model is None:
-            raise RuntimeError("Model not loaded. Train the model first.")
+            raise RuntimeError("no fitted model: pass one, or the path of a saved one")
 
     def predict_single(self, record: dict) -> dict:
         self._require()

@@ -221,13 +221,20 @@ class FeatureEngineerModel:
 
 
 def fit_feature_engineer(df: DataFrame, target: str = HOUSING_TARGET, key: str = "Neighborhood",
-                         ref_year: int = REF_YEAR, log_columns=None, exclude=("id",)) -> FeatureEngineerModel:
+                         ref_year: int = REF_YEAR, log_columns=None, exclude=("id",), fit_scope: str = "all",
+                         split_col: str = "split") -> FeatureEngineerModel:
     """Age -> area -> quality -> target encoding -> auto log (in order).
-    The skew scan sees the derived and encoded columns, as in the reference."""
+    The skew scan sees the derived and encoded columns, as in the reference.
+    ``fit_scope="train"`` learns the means and the skewed columns from the rows
+    whose ``split_col`` is 'train' alone, so that no test price leaks into a
+    feature; "all" learns from every row, as the reference does."""
+    if fit_scope not in ("all", "train"):
+        raise ValueError(f"fit_scope is 'all' or 'train', not {fit_scope!r}")
     derived = derive(df, ref_year=ref_year)
     # the encoder fit and the skew scan both read the derived numeric columns
     keep = [c for c in derived.columns if c == key or c == target or c in numeric_columns(derived)]
-    with persisted(derived, keep) as src:
+    seen = derived.where(F.col(split_col) == "train") if fit_scope == "train" else derived
+    with persisted(seen, keep) as src:
         enc = fit_target_encoder(src, key, target)
         encoded = enc.transform(src)
         log = fit_log_transform(encoded, log_columns, target, exclude=exclude)

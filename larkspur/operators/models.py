@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import path_exists
 from ..sources.tables import cut_lineage
+from . import gram
 from .evaluate import regression_metrics
 from .split import assign_folds
 
@@ -163,30 +165,37 @@ def rank_models(results: DataFrame, metric: str = "test_r2") -> DataFrame:
 def cross_validate(df: DataFrame, features, label: str = "label", names=MODEL_ORDER, k: int = 5,
                    fold_col: str = "fold", key: str = "id", parallelism: int = 4) -> DataFrame:
     """M9: R2 per fold, mean and population std per model, with hash folds.
-    The model x fold fits run as concurrent Spark jobs from up to
-    ``parallelism`` driver threads; the ridge penalty uses each training
-    fold's own row count and label spread."""
+    The linear family is fitted and scored from the moments of the folds, one
+    scan for all its models (``operators.gram``). The other model x fold fits run
+    as concurrent Spark jobs from up to ``parallelism`` driver threads."""
     from concurrent.futures import ThreadPoolExecutor
 
     data = assign_folds(df, key, k, col=fold_col).persist()
+    linear = {name: (name, 1.0) for name in names if name in gram.LINEAR_FAMILY}
+    order = {name: i for i, name in enumerate(names, 1)}
 
     def fit_fold(task):
         i, name, f = task
         tr = data.filter(F.col(fold_col) != f)
         te = data.filter(F.col(fold_col) == f)
-        n, s = label_stats(tr, label) if name == "ridge" else (None, None)   # only ridge's penalty needs them
-        model = make_pipeline(name, features, label, n_rows=n, label_std=s).fit(tr)
+        model = make_pipeline(name, features, label).fit(tr)
         return model.transform(te).select(F.lit(name).alias("model"), F.lit(i).alias("ordinal"),
                                           F.lit(f).alias("fold"), F.col(label).cast("double").alias("actual"),
                                           F.col("prediction").alias("predicted"))
 
-    tasks = [(i, name, f) for i, name in enumerate(names, 1) for f in range(k)]
+    tasks = [(i, name, f) for name, i in order.items() if name not in linear for f in range(k)]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         rows = list(pool.map(fit_fold, tasks))
-    allp = rows[0]
-    for p in rows[1:]:
-        allp = allp.unionByName(p)
-    per_fold = regression_metrics(allp, by=["model", "ordinal", "fold"], rounded=False)
+    parts = []
+    if linear:
+        scored = gram.fold_scores(data, features, label, linear, k, key, fold_col=fold_col)
+        place = F.create_map(*[x for name in linear for x in (F.lit(name), F.lit(order[name]))])
+        parts.append(scored.select(F.col("variant").alias("model"), place[F.col("variant")].alias("ordinal"), "fold", "r2_score"))
+    if rows:
+        allp = reduce(DataFrame.unionByName, rows)
+        parts.append(regression_metrics(allp, by=["model", "ordinal", "fold"], rounded=False)
+                     .select("model", "ordinal", "fold", "r2_score"))
+    per_fold = reduce(DataFrame.unionByName, parts)
     out = per_fold.groupBy("model", "ordinal").agg(
         F.collect_list(F.struct("fold", "r2_score")).alias("fold_r2"),
         F.avg("r2_score").alias("cv_mean"), F.stddev_pop("r2_score").alias("cv_std"))
@@ -215,18 +224,25 @@ TUNING_SEED, TUNING_FOLD = 1042, "tuning_fold"
 def grid_search(train: DataFrame, features, label: str = "label", name: str = "ridge", grid: dict | None = None,
                 folds: int = 3, cheap: bool = False, parallelism: int = 4, key: str = "id"):
     """Grid search by R2 with refit on all training rows, on hash folds of
-    the key (``cheap``: one of them validates). Ridge alphas are mapped to
-    MLlib's lambda. Unknown model names are returned untuned."""
+    the key (``cheap``: one of five validates). Penalties of the linear family
+    are scored from the moments of the folds, all from one scan. Boosted trees
+    that differ in ``maxIter`` alone come from one fit at the largest of them
+    (:func:`staged_scores`). Unknown model names are returned untuned."""
     grid = grid if grid is not None else GRIDS.get(name)
     n, s = label_stats(train, label)
     pipe = make_pipeline(name, features, label, n_rows=n, label_std=s)
     if not grid:
         return pipe.fit(train), None
+    if name in ("ridge", "lasso") and set(grid) == {"regParam"}:
+        best, _, scores = gram.alpha_grid(train, features, label, name, grid["regParam"], 5 if cheap else folds, key,
+                                          TUNING_SEED, 1 if cheap else None)
+        tuned = make_pipeline(name, features, label, n_rows=n, label_std=s, alpha=best)
+        return tuned.fit(train), [({"alpha": a}, r2) for a, r2 in scores]
+    if name in ("gradient_boosting", "xgboost") and len(grid.get("maxIter", ())) > 1:
+        return _staged_search(train, features, label, name, pipe, grid, folds, cheap, parallelism, key)
     est = pipe.getStages()[-1]
     b = ParamGridBuilder()
     for k, vals in grid.items():
-        if name == "ridge" and k == "regParam":
-            vals = [a * s / max(n, 1) for a in vals]
         b = b.addGrid(est.getParam(k), vals)
     maps = b.build()
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="r2")
@@ -243,6 +259,51 @@ def grid_search(train: DataFrame, features, label: str = "label", name: str = "r
     return model.bestModel, list(zip(names, model.avgMetrics))
 
 
+def staged_scores(model: PipelineModel, df: DataFrame, label: str, counts: list[int]) -> dict[int, float]:
+    """R2 of the first m trees of a boosted model, for each m of ``counts``:
+    one pass over ``df`` for all of them."""
+    stage = model.stages[-1]
+    for step in model.stages[:-1]:
+        df = step.transform(df)
+    errors = stage.evaluateEachIteration(df, "squared")
+    spread = df.agg(F.var_pop(F.col(label).cast("double")).alias("v")).first()["v"]
+    return {m: 1.0 - errors[m - 1] / spread if spread else float(errors[m - 1] == 0) for m in counts}
+
+
+def _staged_search(train, features, label, name, pipe, grid, folds, cheap, parallelism, key):
+    """Grid search of boosted trees: a fit at the largest ``maxIter`` scores
+    every smaller one, as boosting adds trees without changing those before."""
+    from concurrent.futures import ThreadPoolExecutor
+    est = pipe.getStages()[-1]
+    counts = sorted(grid["maxIter"])
+    b = ParamGridBuilder().addGrid(est.maxIter, counts[-1:])
+    for k, vals in grid.items():
+        if k != "maxIter":
+            b = b.addGrid(est.getParam(k), vals)
+    maps = b.build()
+    k = 5 if cheap else folds
+    data = assign_folds(train, key, k, TUNING_SEED, TUNING_FOLD).persist()
+
+    def fit(task):
+        m, fold = task
+        model = pipe.fit(data.where(F.col(TUNING_FOLD) != fold), m)
+        return staged_scores(model, data.where(F.col(TUNING_FOLD) == fold), label, counts)
+
+    tasks = [(m, fold) for m in maps for fold in ([0] if cheap else range(k))]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        got = list(pool.map(fit, tasks))
+    data.unpersist()
+    scores, points = [], []
+    for i, m in enumerate(maps):
+        mine = got[i * len(tasks) // len(maps):(i + 1) * len(tasks) // len(maps)]
+        for n in counts:
+            point = {p: (n if p.name == "maxIter" else v) for p, v in m.items()}
+            points.append(point)
+            scores.append(({p.name: v for p, v in point.items()}, sum(g[n] for g in mine) / len(mine)))
+    best = max(range(len(scores)), key=lambda i: (scores[i][1], -i))
+    return pipe.fit(train, points[best]), scores
+
+
 def feature_importance(model, feature_names, top_n: int = 20, spark=None) -> DataFrame:
     """Importance share sorted descending with rank; models
     without importances give an empty table."""
@@ -290,22 +351,25 @@ def permutation_importance(model, df: DataFrame, features, label: str = "label",
                            seed: int = SEED) -> DataFrame:
     """Model-free importance: drop in R2 when one feature's values are
     permuted across rows. The permutation joins two hash orders of the whole
-    table; it depends on the keys alone."""
+    table; it depends on the keys alone. The base and all permuted variants are
+    one long table, scored in one pass and measured by one grouped aggregate."""
     from ..functions.hashing import mix_key
-    base_r2 = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="r2").evaluate(
-        model.transform(df))
-    first = _with_rank(df, [mix_key(key, seed + 1), F.col(key)], "_place")
+    features = list(features)
+    first = _with_rank(df.select(key, label, *features), [mix_key(key, seed + 1), F.col(key)], "_place")
     donors = _with_rank(df.select(key, *features), [mix_key(key, seed + 2), F.col(key)], "_place").drop(key)
     donors = donors.select("_place", *[F.col(f).alias(f"_{f}") for f in features])
-    both = cut_lineage(first.join(donors, "_place"))
-    rows = []
-    for f in features:
-        perm = both.drop(f).withColumnRenamed(f"_{f}", f)
-        r2 = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="r2").evaluate(
-            model.transform(perm))
-        rows.append((f, float(base_r2 - r2)))
-    spark = df.sparkSession
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    both = first.join(donors, "_place")
+    variants = F.array(F.lit(None).cast("string"), *[F.lit(f) for f in features])
+    long = both.select("*", F.explode(variants).alias("_variant"))
+    long = long.select("_variant", F.col(label).cast("double").alias("_actual"), *[
+        F.when(F.col("_variant") == f, F.col(f"_{f}")).otherwise(F.col(f)).alias(f) for f in features])
+    scored = model.transform(long).select("_variant", F.col("_actual").alias("actual"), F.col("prediction").alias("predicted"))
+    r2 = regression_metrics(scored, by=["_variant"], rounded=False).select("_variant", "r2_score")
+    r2 = cut_lineage(r2)              # one row per variant
+    base = r2.where("_variant is null").select(F.col("r2_score").alias("_base"))
+    drop = r2.where("_variant is not null").crossJoin(base)      # one row beside every feature
+    return drop.select(F.col("_variant").alias("feature"), (F.col("_base") - F.col("r2_score")).alias("importance")).orderBy(
+        F.desc("importance"), "feature")
 
 
 # --------------------------------------------------------------- persistence
@@ -316,9 +380,9 @@ def save_model(model: PipelineModel, path: str) -> str:
     return path
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str, spark: SparkSession | None = None) -> PipelineModel:
     """Raise when the artifact is absent from the path's file system."""
-    if not path_exists(SparkSession.getActiveSession(), path):
+    if not path_exists(spark or SparkSession.getActiveSession(), path):
         raise FileNotFoundError(path)
     return PipelineModel.load(path)
 

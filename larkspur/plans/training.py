@@ -4,6 +4,7 @@ evaluation (M21)."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -15,6 +16,7 @@ from ..operators import encode as en
 from ..operators import evaluate as ev
 from ..operators import features as fe
 from ..operators import models as md
+from ..operators import profile as pf
 from ..operators.split import assign_split
 from ..roles import HOUSING, ColumnRoles
 from ..sources.tables import cut_lineage
@@ -79,10 +81,13 @@ def train_end_to_end(df: DataFrame, roles: ColumnRoles = HOUSING, names=md.MODEL
     return results, best, full, importance
 
 
-def full_evaluation(model: PipelineModel, test: DataFrame, label: str, n_features: int,
-                    key: str = "id", feature_names=None) -> dict:
-    """Predictions -> metrics, residuals, range errors, Q-Q points,
-    importance, as a dict of small DataFrames (one cached prediction frame)."""
+def full_evaluation(model: PipelineModel, test: DataFrame, label: str, n_features: int, key: str = "id",
+                    feature_names=None, results: DataFrame | None = None, df: DataFrame | None = None) -> dict:
+    """Every report on the test rows as a dict of DataFrames: metrics with
+    their gates, residual summary, errors by price range, Q-Q points, importance
+    (with ``feature_names``), the ranking of all models (with their ``results``)
+    and the correlations with the label (with the whole table ``df``). The
+    predictions are made once."""
     pred = cut_lineage(model.transform(test).select(key, F.col(label).cast("double").alias("actual"),
                                                     F.col("prediction").alias("predicted")))
     out = {
@@ -93,9 +98,34 @@ def full_evaluation(model: PipelineModel, test: DataFrame, label: str, n_feature
     }
     if feature_names is not None:
         out["importance"] = md.feature_importance(model, feature_names, 20, test.sparkSession)
+    if results is not None:
+        out["comparison"] = md.rank_models(results)
+    if df is not None:
+        out["correlation"] = pf.corr_with_target(df, label)
     return out
 
 
+def report_rows(reports: dict) -> DataFrame:
+    """The reports of :func:`full_evaluation` as one table (report, item, value);
+    of the Q-Q points, the line."""
+    def rows(report: str, frame: DataFrame, item, values) -> DataFrame:
+        pairs = F.array(*[F.struct(F.concat(item, F.lit(v)).alias("item"), F.col(v).cast("double").alias("value")) for v in values])
+        return frame.select(F.lit(report).alias("report"), F.explode(pairs).alias("e")).select("report", "e.*")
+
+    none = F.lit("")
+    parts = [rows("metrics", reports["metrics"], none, ("n", "r2_score", "adj_r2", "rmse", "mae", "mape", "mse")),
+             rows("residuals", reports["residual_summary"], none, ("residual_mean", "residual_std")),
+             rows("ranges", reports["error_by_range"], F.concat("range_label", F.lit("/")), ("mean_abs_error", "mean_pct_error", "count")),
+             rows("qq", reports["qq"].agg(F.max("slope").alias("slope"), F.max("intercept").alias("intercept")), none, ("slope", "intercept"))]
+    if "importance" in reports:
+        parts.append(rows("importance", reports["importance"], F.concat("feature", F.lit("/")), ("importance",)))
+    if "comparison" in reports:
+        parts.append(rows("comparison", reports["comparison"], F.concat("model", F.lit("/")), ("test_r2", "test_rmse", "train_r2")))
+    if "correlation" in reports:
+        parts.append(rows("correlation", reports["correlation"], F.concat("column", F.lit("/")), ("corr",)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # Fixed value: the base numeric features used by the model queries.
 MODEL_FEATURES = ("LotArea", "YearBuilt", "YearRemodAdd", "TotalBsmtSF", "GrLivArea", "FullBath", "HalfBath",
                   "BedroomAbvGr", "TotRmsAbvGrd", "GarageArea", "PoolArea", "OverallQual", "OverallCond")
@@ -107,12 +137,14 @@ def model_frame(df: DataFrame, key: str = "id", label: str = "SalePrice") -> Dat
 
 
 def scaled_pipeline(train: DataFrame, name: str, features=MODEL_FEATURES, label: str = "label") -> PipelineModel:
-    """Robust scaler (as a SQL stage) + assembler + estimator, one artifact."""
+    """Reduced derivation, alignment, robust scaler (as a SQL stage), assembler
+    and estimator as one artifact: records with absent or extra fields score."""
     from pyspark.ml import Pipeline
+    from .stages import aligned
     scaler = en.fit_robust_scaler(train, features)
     n, s = md.label_stats(train, label)
     stages = [scaler.to_stage("_scaled"),
               VectorAssembler(inputCols=[f"{c}_scaled" for c in features], outputCol="features",
                               handleInvalid="keep"),
               md.make_estimator(name, label=label, n_rows=n, label_std=s)]
-    return Pipeline(stages=stages).fit(train)
+    return aligned(Pipeline(stages=stages).fit(train), raw=features)

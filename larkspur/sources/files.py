@@ -21,8 +21,6 @@ NA_TOKENS = ("", "NA", "N/A", "NULL", "NaN", "nan", "None", "null", "n/a", "#N/A
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location."""
     base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
     return os.path.join(base, "larkspur-out", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
@@ -52,6 +50,19 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return raw.select(*cols)
 
 
+def read_csv_or(spark: SparkSession, path: str, fallback, schema: T.StructType | str | None = None,
+                na_tokens=NA_TOKENS) -> DataFrame:
+    """S1 with a fallback: the file if it exists in its own file system, else
+    the table that ``fallback()`` gives, in the same columns."""
+    if path_exists(spark, path):
+        return read_csv(spark, path, schema, na_tokens)
+    other = fallback()
+    if schema is None:
+        return other
+    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    return other.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted.fields])
+
+
 def _na_to_null(df: DataFrame, na_tokens) -> DataFrame:
     out = []
     for f in df.schema.fields:

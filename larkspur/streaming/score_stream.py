@@ -26,8 +26,10 @@ def stream_source(spark: SparkSession, sf_dir: str, table: str = "lineitem",
 
 
 def start_scoring(spark: SparkSession, sf_dir: str, model: PipelineModel, out_path: str,
-                  checkpoint: str, keep=("id",), available_now: bool = True):
+                  checkpoint: str, keep=("id",), available_now: bool = True, columns=None):
+    """``columns``: the fields that reach the model, all by default."""
     rows = listing(spark, sf_dir, stream_source(spark, sf_dir))
+    rows = rows.select(*columns) if columns else rows
     price = F.greatest(F.bround("prediction", 2), F.lit(0.0))
     scored = model.transform(rows).select(*keep, F.when(F.col("prediction").isNotNull(), price).alias("PredictedPrice"))
     w = (scored.writeStream.format("parquet").option("path", out_path)
@@ -37,8 +39,8 @@ def start_scoring(spark: SparkSession, sf_dir: str, model: PipelineModel, out_pa
 
 
 def score_stream(spark: SparkSession, sf_dir: str, model: PipelineModel, out_path: str,
-                 checkpoint: str, timeout_s: int = 600) -> DataFrame:
-    q = start_scoring(spark, sf_dir, model, out_path, checkpoint)
+                 checkpoint: str, timeout_s: int = 600, columns=None) -> DataFrame:
+    q = start_scoring(spark, sf_dir, model, out_path, checkpoint, columns=columns)
     q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
