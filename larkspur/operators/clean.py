@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..roles import HOUSING, ColumnRoles
 from ..sources.tables import persisted
-from .quantiles import quantiles
+from .quantiles import descent_quantiles, quantiles
 
 # Constant fills applied by the reference after imputation.
 CONSTANT_FILLS = {"PoolArea": 0, "GarageArea": 0, "TotalBsmtSF": 0, "GarageType": "None"}
@@ -120,7 +120,7 @@ def normalize_na(df: DataFrame, tokens=("NA", "None", "nan", "NaN", "")) -> Data
 # ------------------------------------------------------------------ outliers
 
 def iqr_bounds(df: DataFrame, col: str, threshold: float = 3.0, exact: bool = True):
-    q1, q3 = quantiles(df, [col], [0.25, 0.75], exact=exact)[col]
+    q1, q3 = descent_quantiles(df, col, [0.25, 0.75]) if exact else quantiles(df, [col], [0.25, 0.75], exact=False)[col]
     if q1 is None:
         return None, None
     iqr = q3 - q1

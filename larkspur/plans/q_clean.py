@@ -199,14 +199,18 @@ def _hist_sql(src: str, col: str, bins: int, stage: str) -> str:
     WHERE {col} IS NOT NULL GROUP BY 1) c ON c.bin = r.b)"""
 
 
-@register("imputation_compare", "A30 T1", with_dirty_listing(""",
-med AS (SELECT quantile_cont(CAST(GrLivArea AS DOUBLE), 0.5) AS m FROM dirty_listing),
-imputed AS (SELECT coalesce(CAST(GrLivArea AS DOUBLE), m) AS GrLivArea FROM dirty_listing, med)
-""" + _hist_sql("dirty_listing", "GrLivArea", 30, "before") + " UNION ALL " + _hist_sql("imputed", "GrLivArea", 30, "after")))
+_COMPARED = ("GrLivArea", "LotArea", "GarageArea")
+
+
+@register("imputation_compare", "A30 T1", with_dirty_listing(f""",
+med AS (SELECT {", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS m_{c}" for c in _COMPARED)} FROM dirty_listing),
+imputed AS (SELECT {", ".join(f"coalesce(CAST({c} AS DOUBLE), m_{c}) AS {c}" for c in _COMPARED)} FROM dirty_listing, med)
+""" + " UNION ALL ".join(_hist_sql(src, c, 30, stage) for c in _COMPARED
+                         for src, stage in (("dirty_listing", "before"), ("imputed", "after")))))
 def imputation_compare(spark, sf):
-    d = cut_lineage(dirty_listing(spark, sf))
-    imp = cl.fit_imputer(d.select("GrLivArea"), strategy="median").transform(d.select("GrLivArea"))
-    return pf.imputation_compare(d, imp, ["GrLivArea"], 30)
+    """Histograms of three columns before and after imputation."""
+    d = cut_lineage(dirty_listing(spark, sf).select(*_COMPARED))
+    return pf.imputation_compare(d, cl.fit_imputer(d, strategy="median").transform(d), list(_COMPARED), 30)
 
 
 # ----------------------------------------------------------------- cleaning

@@ -253,10 +253,7 @@ BOOT_REPLICATES = 100
 
 
 @register("bootstrap_ci", "R4", with_listing(SCORED_SQL + f""",
-w AS (SELECT b, actual, predicted,
-        (CAST({mix_key_sql('id', "'7/' || b")} AS DOUBLE) + 0.5::DOUBLE) / {float(HASH_RANGE)!r}::DOUBLE AS u
-      FROM scored, range(1, {BOOT_REPLICATES + 1}) t(b)),
-pw AS (SELECT b, actual, predicted, {poisson_weight_sql('u')} AS wt FROM w),
+pw AS (SELECT b, actual, predicted, {poisson_weight_sql('id', 7, 'b')} AS wt FROM scored, range(1, {BOOT_REPLICATES + 1}) t(b)),
 rep AS (SELECT b, sum(wt * (actual - predicted)) / sum(wt) AS mean_residual,
                sqrt(sum(wt * (actual - predicted) ^ 2) / sum(wt)) AS rmse,
                1.0 - sum(wt * (actual - predicted) ^ 2) / (sum(wt * actual * actual) - sum(wt * actual) ^ 2 / sum(wt)) AS r2

@@ -206,6 +206,15 @@ def lookup_multiplier(spark, sf):
                      multiplier("BldgType", BLDG_MULT, None).alias("bldg_mult"))
 
 
+@register("strict_lookup_keys", "J2", with_listing("""
+SELECT 'ExterQual' AS "column", ExterQual AS value FROM listing WHERE ExterQual NOT IN ('Ex', 'Gd', 'TA', 'Fa') GROUP BY ExterQual
+UNION ALL
+SELECT 'BldgType', BldgType FROM listing WHERE BldgType NOT IN ('1Fam', 'TwnhsE', 'Duplex', 'Twnhs', '2fmCon') GROUP BY BldgType"""))
+def strict_lookup_keys(spark, sf):
+    """Strict lookups: the keys for which pricing would stop."""
+    return pr.check_multiplier_keys(listing(spark, sf))
+
+
 @register("label_reattach", "J4 P1", with_listing("""
 SELECT x.id, x.GrLivArea, x.OverallQual, y.SalePrice
 FROM (SELECT id, GrLivArea, OverallQual FROM listing) x JOIN (SELECT id, SalePrice FROM listing) y ON x.id = y.id"""))

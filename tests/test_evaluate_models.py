@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import evaluate as ev
 from larkspur.operators import models as md
-from larkspur.operators.bootstrap import poisson1_cdf
+from larkspur.operators.bootstrap import poisson1_cdf, poisson_steps
 
 
 def test_metrics_against_numpy(spark):
@@ -55,7 +55,9 @@ def test_qq_points_filliben(spark):
 
 
 def test_poisson_thresholds():
-    cdf = poisson1_cdf()
+    cdf = poisson1_cdf(20)
+    steps = [int(s, 16) / 16 ** 8 for s in poisson_steps()]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(steps, cdf)) and 1.0 - steps[-1] < 1e-8
     assert math.isclose(cdf[0], math.exp(-1)) and cdf[-1] <= 1.0 + 1e-12
 
 
