@@ -14,10 +14,11 @@ ranges.
    not assumed from the text. Between anchors lie windows: a tuple of A ids and
    a tuple of B ids.
 3. The alignment of a window depends on its id tuples alone and is kept under
-   them: its groups (cut at shared ends) and its links (overlapping tokens).
+   them: its groups (cut at shared ends) and its links (overlapping tokens). A
+   chunk that turns out to be one window remembers which.
 4. A document's distinct linked pairs are counted over the corpus. Documents
-   are gathered into blocks of at most BLOCK_LINKS links (a longer document is
-   a block of its own); a block lists each pair once with the number of its
+   are gathered into blocks until these have BLOCK_LINKS links (or one long
+   document has more); a block lists each pair once with the number of its
    documents that hold it, so that a pair meets its corpus count once a block,
    not once a document.
 
@@ -51,7 +52,7 @@ from .bpe import ByteTable
 from .packing import byte_alphabet
 
 BLOCK_LINKS = 2_000_000
-CACHE_LIMIT = 500_000   # chunks, and windows, that one worker keeps; emptied when full
+CACHE_LIMIT = 200_000   # chunks, and windows, that one worker keeps; emptied when full
 LONGEST_KEPT = 64       # code points of a chunk, ids of a window that are kept
 TOGETHER = 2_000        # chunks that are encoded as one text
 _SPACE = "▁"
@@ -481,7 +482,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, text: str, keep: list[str]
     return numbered.mapInArrow(run, out)
 
 
-STEP_CHARS = 2_000_000   # of the documents that are aligned in one step
+STEP_CHARS = 500_000   # of the documents that are aligned in one step
 
 
 def pair_counts(placed: DataFrame) -> DataFrame:
