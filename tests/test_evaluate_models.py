@@ -112,3 +112,27 @@ def test_train_save_load_importance(spark, tmp_path):
     import pytest
     with pytest.raises(FileNotFoundError):
         md.load_model(str(tmp_path / "absent"))
+
+
+def test_bootstrap_draws_once_per_row_and_replicate(spark):
+    """The whole 60 bits of a digest of its own for every row and replicate."""
+    import hashlib
+    from larkspur.operators.bootstrap import bootstrap_metrics
+    n, replicates = 40, 12
+    y, p = [100.0 + 7 * i for i in range(n)], [90.0 + 8 * i - i % 5 for i in range(n)]
+    df = spark.createDataFrame(list(zip(range(n), y, p)), "id long, actual double, predicted double")
+    cdf = [sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) for k in range(20)]
+    means = []
+    for b in range(1, replicates + 1):
+        draws = [(int(hashlib.md5(f"7/{b}:{i}".encode()).hexdigest()[:15], 16) + 0.5) / 16 ** 15 for i in range(n)]
+        w = [sum(u >= c for c in cdf) for u in draws]
+        means.append(sum(a * (c - d) for a, c, d in zip(w, y, p)) / sum(w))
+    row = bootstrap_metrics(df, replicates=replicates).where("metric = 'mean_residual'").first()
+    assert np.allclose([row["lo"], row["hi"]], np.quantile(means, [0.05, 0.95]))
+
+
+def test_hash_steps_are_those_of_the_numeric_rule():
+    from larkspur.operators.bootstrap import hash_steps
+    place = lambda h: (float(h) + 0.5) / float(16 ** 15)
+    for step, p in zip(hash_steps(), poisson1_cdf()):
+        assert len(step) == 15 and place(int(step, 16)) >= p > place(int(step, 16) - 1)
