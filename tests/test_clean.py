@@ -85,3 +85,17 @@ def test_normalize_na(spark):
     df = spark.createDataFrame([("NA", float("nan")), ("Attchd", 1.0)], "g string, x double")
     out = cl.normalize_na(df).collect()
     assert out[0]["g"] is None and out[0]["x"] is None and out[1]["g"] == "Attchd"
+
+
+def test_preprocess_makes_its_input_once(spark, sample_df):
+    from larkspur.plans.training import preprocess
+    made = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for batch in rows:
+            made.add(len(batch))
+            yield batch
+
+    n = sample_df.count()
+    pre = preprocess(sample_df.mapInPandas(count, sample_df.schema))
+    assert made.value == n and 0 < pre.data.count() <= n

@@ -136,3 +136,9 @@ def test_hash_steps_are_those_of_the_numeric_rule():
     place = lambda h: (float(h) + 0.5) / float(16 ** 15)
     for step, p in zip(hash_steps(), poisson1_cdf()):
         assert len(step) == 15 and place(int(step, 16)) >= p > place(int(step, 16) - 1)
+
+
+def test_tree_settings_bound_the_memory_of_a_task():
+    for name in ("decision_tree", "random_forest", "gradient_boosting", "xgboost"):
+        est = md.make_estimator(name)
+        assert est.getMaxMemoryInMB() <= 256 and est.getCacheNodeIds() == (name != "random_forest")
