@@ -73,3 +73,21 @@ def test_boxplot_and_corr(spark, sample_df):
     assert c[0]["column"] == "SalePrice" and math.isclose(c[0]["corr"], 1.0)
     m = pf.corr_matrix_top(sample_df.select("GrLivArea", "LotArea", "SalePrice"), top_n=3).collect()
     assert len(m) == 3
+
+
+def test_corr_matrix_in_parts(spark, monkeypatch):
+    """All pairs, pairwise without NULLs, none of the aggregations with more than a few of them."""
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({f"c{i}": rng.normal(0, 1, 60) for i in range(7)})
+    frame["SalePrice"] = frame.sum(axis=1)
+    frame.loc[::4, "c1"] = None
+    frame.loc[1::5, "c2"] = None
+    df = spark.createDataFrame(frame).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in frame.columns])
+    sizes, agg = [], type(df).agg
+    monkeypatch.setattr(type(df), "agg", lambda self, *e: sizes.append(len(e)) or agg(self, *e))
+    found = {frozenset((r["col_i"], r["col_j"])): r["corr"] for r in pf.corr_matrix_top(df).collect()}
+    want = frame.corr()
+    assert len(found) == 28
+    assert all(math.isclose(v, want.loc[tuple(k)], abs_tol=1e-9) for k, v in found.items())
+    assert max(sizes) <= 15
+    assert not spark._jsparkSession.sharedState().cacheManager().lookupCachedData(df._jdf).isDefined()
