@@ -142,3 +142,16 @@ def test_tree_settings_bound_the_memory_of_a_task():
     for name in ("decision_tree", "random_forest", "gradient_boosting", "xgboost"):
         est = md.make_estimator(name)
         assert est.getMaxMemoryInMB() <= 256 and est.getCacheNodeIds() == (name != "random_forest")
+
+
+def test_pipelines_of_trees_keep_no_node_ids(spark):
+    from pyspark.sql import functions as F
+    for name in md.TREES:
+        est = md.make_pipeline(name, ["x"]).getStages()[-1]
+        assert not est.getCacheNodeIds() and est.getMaxMemoryInMB() <= 256
+    df = spark.range(300).select(F.col("id").cast("double").alias("x"), (F.col("id") * 7 % 31).cast("double").alias("z"),
+                                 (F.col("id") * F.col("id") % 97).cast("double").alias("label")).repartition(3, "x").cache()
+    for name, kw in (("decision_tree", {}), ("gradient_boosting", {"maxIter": 5})):
+        now, kept = (md.make_pipeline(name, ["x", "z"], **kw, **k).fit(df).stages[-1] for k in ({}, {"cacheNodeIds": True}))
+        assert now.toDebugString.split("\n")[1:] == kept.toDebugString.split("\n")[1:]
+    df.unpersist()
