@@ -155,3 +155,32 @@ def test_pipelines_of_trees_keep_no_node_ids(spark):
         now, kept = (md.make_pipeline(name, ["x", "z"], **kw, **k).fit(df).stages[-1] for k in ({}, {"cacheNodeIds": True}))
         assert now.toDebugString.split("\n")[1:] == kept.toDebugString.split("\n")[1:]
     df.unpersist()
+
+
+def test_fits_of_many_rows_run_one_at_a_time(spark, monkeypatch):
+    import threading
+    from pyspark.sql import functions as F
+    assert md.fits_at_once(48_000, 100) == 4 and md.fits_at_once(29_000_000, 13) == 1 and md.fits_at_once(0, 1, 1) == 1
+    df = spark.range(200).select("id", (F.col("id") % 13).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("label"))
+    lock, running, most, made = threading.Lock(), [0], [0], md.make_pipeline
+
+    def watched(*args, **kw):
+        pipe = made(*args, **kw)
+
+        class Watched:
+            def fit(self, rows):
+                with lock:
+                    running[0] += 1
+                    most[0] = max(most[0], running[0])
+                model = pipe.fit(rows)
+                with lock:
+                    running[0] -= 1
+                return model
+        return Watched()
+
+    wide = md.cross_validate(df, ["x"], names=("decision_tree",), k=3).collect()
+    monkeypatch.setattr(md, "make_pipeline", watched)
+    monkeypatch.setattr(md, "POINTS_AT_ONCE", 200 * md.POINT_BYTES)
+    narrow = md.cross_validate(df, ["x"], names=("decision_tree",), k=3).collect()
+    assert most[0] == 1
+    assert sorted(narrow[0]["fold_r2"]) == sorted(wide[0]["fold_r2"])
