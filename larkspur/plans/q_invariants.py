@@ -18,7 +18,7 @@ from ..operators.split import with_curve_share
 from ..sources import files
 from ..sources.listing import dirty_listing, listing
 from ..sources.requests import parse_requests
-from ..sources.tables import cut_lineage, read_table
+from ..sources.tables import cut_lineage, persisted, read_table
 from ..streaming.score_stream import score_stream
 from . import training as tr
 from .oracle_base import with_dirty_listing, with_listing
@@ -113,12 +113,13 @@ def learning_curve_sizes(spark, sf):
 @register("bootstrap_width", "R4", "SELECT true AS plausible")
 def bootstrap_width(spark, sf):
     """The 90 % interval of the mean residual is as wide as its standard error says."""
-    rows = scored(spark, sf)
-    ends = bootstrap_metrics(rows, replicates=100, seed=11).where("metric = 'mean_residual'")
-    r = F.col("actual").cast("double") - F.col("predicted").cast("double")
-    error = rows.agg((F.stddev_samp(r) / F.sqrt(F.count(r).cast("double"))).alias("se"))
+    r = F.col("actual") - F.col("predicted")
+    with persisted(scored(spark, sf), ("id", "actual", "predicted")) as rows:    # read twice
+        ends = bootstrap_metrics(rows, replicates=100, seed=11).where("metric = 'mean_residual'")
+        error = rows.agg((F.stddev_samp(r) / F.sqrt(F.count(r).cast("double"))).alias("se"))
+        both = cut_lineage(ends.crossJoin(error))    # one row
     ratio = (F.col("hi") - F.col("lo")) / (2 * 1.6448536269514722 * F.col("se"))
-    return ends.crossJoin(error).select(((ratio > 0.75) & (ratio < 1.3)).alias("plausible"))
+    return both.select(((ratio > 0.75) & (ratio < 1.3)).alias("plausible"))
 
 
 @register("json_score_bad_bodies", "S8 P26", "SELECT event_id, 'error' AS status, NULL::BIGINT AS HedonicPrice FROM events")

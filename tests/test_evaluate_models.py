@@ -184,3 +184,33 @@ def test_fits_of_many_rows_run_one_at_a_time(spark, monkeypatch):
     narrow = md.cross_validate(df, ["x"], names=("decision_tree",), k=3).collect()
     assert most[0] == 1
     assert sorted(narrow[0]["fold_r2"]) == sorted(wide[0]["fold_r2"])
+
+
+def test_md5_of_a_block_of_texts():
+    import hashlib
+    import pyarrow as pa
+    from larkspur.functions.md5_blocks import leading_digits
+    texts = ["", ":", ":é中", None, *[":" + "x" * k for k in (1, 2, 3, 49, 50, 51, 55, 56, 63, 64, 119, 120, 5000)]]
+    prefixes = [b"7/1", b"7/10", b"7/11", b"7/100", b"", b"p" * 70]
+    got = {(int(a), i): int(x) for at, i, h in leading_digits(pa.array(["cut", *texts])[1:], prefixes, 15) for a, x in zip(at, h)}
+    assert got == {(a, i): int(hashlib.md5(p + (t or "").encode()).hexdigest()[:15], 16)
+                   for a, t in enumerate(texts) for i, p in enumerate(prefixes)}
+
+
+def test_bootstrap_makes_no_row_of_each_draw(spark):
+    """No row and replicate is a row of its own, of any key; an empty table has no interval."""
+    from larkspur.operators.bootstrap import bootstrap_metrics
+    rows = [(None, 9.0, 7.0), ("a" * 60, 5.0, 4.5), ("b", 3.0, 4.0), ("b", 3.0, 4.0), ("c", None, 1.0)]
+    df = spark.createDataFrame(rows, "id string, actual double, predicted double")
+    out = bootstrap_metrics(df, replicates=3)
+    assert "Generate explode" not in out._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1]
+    import hashlib
+    cdf = poisson1_cdf()
+    means = []
+    for b in (1, 2, 3):
+        w = [sum((int(hashlib.md5((f"7/{b}" + ("" if k is None else f":{k}")).encode()).hexdigest()[:15], 16) + 0.5) / 16 ** 15 >= c
+                 for c in cdf) for k, _, _ in rows[:4]]
+        means.append(sum(a * (y - p) for a, (_, y, p) in zip(w, rows)) / sum(w))
+    got = {r["metric"]: r for r in out.collect()}["mean_residual"]
+    assert np.allclose([got["lo"], got["hi"]], np.quantile(means, [0.05, 0.95]))
+    assert all(r["lo"] is None for r in bootstrap_metrics(df.where("id = 'none'"), replicates=3).collect())
