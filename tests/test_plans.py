@@ -40,3 +40,17 @@ def test_scan_is_pruned(spark, sf_small, catalog):
 def test_every_oracle_query_has_a_spark_twin(catalog):
     q, o = catalog
     assert set(o) <= set(q)
+
+
+def test_cross_validate_runs_every_model(spark, sf_small, monkeypatch):
+    from larkspur.operators import models as md
+    from larkspur.plans import q_models as qm
+    asked = []
+
+    def noted(df, features, label, names=(), k=0, **kw):
+        asked.append((names, k))
+        return spark.createDataFrame([(n, i, 0.5, 0.1) for i, n in enumerate(names, 1)], "model string, ordinal int, cv_mean double, cv_std double")
+
+    monkeypatch.setattr(md, "cross_validate", noted)
+    out = qm.cross_validate(spark, sf_small)
+    assert asked == [(md.MODEL_ORDER, 5)] and [r["model"] for r in out.orderBy("ordinal").collect()] == list(md.MODEL_ORDER)
