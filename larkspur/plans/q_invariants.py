@@ -61,21 +61,26 @@ def tree_leaf_means(spark, sf):
     "SELECT way, count(*) AS n, CAST(0 AS BIGINT) AS mismatched FROM listing, (VALUES ('reloaded'), ('batch'), ('stream')) t(way)"
     " GROUP BY way"))
 def scores_agree(spark, sf):
-    """A reloaded model, the batch sink and the stream give the fitted model's scores."""
-    train = _frame(spark, sf).filter(F.col("split") == "train")
-    model = tr.scaled_pipeline(train, "linear_regression")
-    again = md.load_model(md.save_model(model, files.scratch_path(spark, "agree-model")))
-    rows = listing(spark, sf).select("id", *tr.MODEL_FEATURES)
+    """A reloaded model, the batch sink and the stream give the fitted model's scores.
+    The listing is made once beside the stream's; a way is compared, and what it wrote
+    deleted, before the next."""
     price = F.when(F.col("prediction").isNotNull(), F.greatest(F.bround("prediction", 2), F.lit(0.0)))
-    want = cut_lineage(model.transform(rows).select("id", price.alias("want")))
-    out = files.scratch_path(spark, "agree-stream")
-    ways = {"reloaded": again.transform(rows).select("id", price.alias("PredictedPrice")),
-            "batch": md.predict_batch(model, rows, sink=files.scratch_path(spark, "agree-batch")),
-            "stream": score_stream(spark, sf, model, out + "/data", out + "/checkpoint")}
-    parts = [got.select("id", "PredictedPrice").join(want, "id").agg(
-        F.lit(way).alias("way"), F.count("*").alias("n"),
-        F.sum(F.when(F.abs(F.col("PredictedPrice") - F.col("want")) <= 0.011, 0).otherwise(1)).alias("mismatched"))
-        for way, got in ways.items()]
+    saved, sink, out = (files.scratch_path(spark, f"agree-{name}") for name in ("model", "batch", "stream"))
+    with persisted(tr.model_frame(listing(spark, sf))) as frame:
+        model = tr.scaled_pipeline(frame.filter(F.col("split") == "train"), "linear_regression")
+        again = md.load_model(md.save_model(model, saved))
+        rows = frame.select("id", *tr.MODEL_FEATURES)
+        want = model.transform(rows).select("id", price.alias("want"))
+        ways = {"reloaded": (saved, lambda: again.transform(rows).select("id", price.alias("PredictedPrice"))),
+                "batch": (sink, lambda: md.predict_batch(model, rows, sink=sink)),
+                "stream": (out, lambda: score_stream(spark, sf, model, out + "/data", out + "/checkpoint"))}
+        parts = []
+        for way, (path, scores) in ways.items():
+            parts.append(cut_lineage(scores().select("id", "PredictedPrice").join(want, "id").agg(    # one row
+                F.lit(way).alias("way"), F.count("*").alias("n"),
+                F.sum(F.when(F.abs(F.col("PredictedPrice") - F.col("want")) <= 0.011, 0).otherwise(1)).alias("mismatched"))))
+            files.delete_path(spark, path)
+            files.free_shuffles(spark)
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
